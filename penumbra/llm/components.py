@@ -1,0 +1,45 @@
+"""Connected components by alternating large-star and small-star rounds.
+
+Every round is two pre-aggregated minima and two joins over the edge list, cut by a checkpoint. A node of many
+edges is never gathered: its minimum is aggregated before the shuffle, and its join side can be split by AQE.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def _star(e: DataFrame, large: bool) -> DataFrame:
+    """e: (a, b) with a < b. large: connects each node's larger neighbours to its least one; else the smaller ones."""
+    down = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    nb = down.unionByName(e.select(F.col("a").alias("u"), F.col("b").alias("v"))) if large else down
+    low = nb.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if large:
+        out = e.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u").select("v", "m")
+    else:
+        out = down.join(low, "u").select("v", "m").unionByName(low.select(F.col("u").alias("v"), "m"))
+    return out.filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) long pairs -> (node, root) for every node of an edge between different nodes; root is the least node reachable.
+
+    Nulls and loops are ignored; repeated and reversed pairs count once; no pairs give no rows.
+    """
+    e = cut(
+        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .filter("a < b").distinct()
+    )
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    was = mark(e)
+    while was[0]:
+        e = cut(_star(_star(e, True), False))
+        now = mark(e)
+        if now == was:
+            break
+        was = now
+    roots = e.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    return roots.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
