@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .mixing import op9_mix
 from .simhash import op4_simhash
 from .tokens import op3_token_counts
 
@@ -16,8 +18,9 @@ def queries() -> dict[str, Query]:
     return {
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
+        "op9_mix": op9_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mix": mixing.SQL}
