@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontaminate, mixing
+from .decontaminate import op1_decontaminate
 from .mixing import op9_mix
 from .simhash import op4_simhash
 from .tokens import op3_token_counts
@@ -16,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
         "op9_mix": op9_mix,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix": mixing.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op9_mix": mixing.SQL}
