@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, quality_rules
 from .decontaminate import op1_decontaminate
 from .mixing import op9_mix
+from .quality_rules import op2_quality_rules
 from .simhash import op4_simhash
 from .tokens import op3_token_counts
 
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_quality_rules": op2_quality_rules,
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
         "op9_mix": op9_mix,
@@ -25,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op9_mix": mixing.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_quality_rules": quality_rules.SQL, "op9_mix": mixing.SQL}
