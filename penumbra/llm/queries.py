@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, quality_rules
 from .decontaminate import op1_decontaminate
+from .langid import op6_language_id
 from .mixing import op9_mix
+from .quality_model import op10_quality
 from .quality_rules import op2_quality_rules
 from .simhash import op4_simhash
 from .tokens import op3_token_counts
@@ -22,7 +24,9 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
+        "op6_language_id": op6_language_id,
         "op9_mix": op9_mix,
+        "op10_quality": op10_quality,
     }
 
 
