@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, quality_rules
 from .decontaminate import op1_decontaminate
+from .html_text import op7_html_text
 from .langid import op6_language_id
 from .mixing import op9_mix
 from .quality_model import op10_quality
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
         "op6_language_id": op6_language_id,
+        "op7_html_text": op7_html_text,
         "op9_mix": op9_mix,
         "op10_quality": op10_quality,
     }
