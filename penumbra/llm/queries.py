@@ -10,6 +10,7 @@ from . import decontaminate, mixing, quality_rules
 from .decontaminate import op1_decontaminate
 from .html_text import op7_html_text
 from .langid import op6_language_id
+from .lm_scores import op8_lm_scores
 from .mixing import op9_mix
 from .quality_model import op10_quality
 from .quality_rules import op2_quality_rules
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash": op4_simhash,
         "op6_language_id": op6_language_id,
         "op7_html_text": op7_html_text,
+        "op8_lm_scores": op8_lm_scores,
         "op9_mix": op9_mix,
         "op10_quality": op10_quality,
     }
