@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BREAK, lowered, table
+from .common import BREAK, cut, lowered, table
 
 K = 5
 #: Benchmark windows up to which their side is broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 400_000
+#: Contaminated rows up to which their ids are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -51,7 +53,8 @@ def _prints(k: int, window: int, short: list[int]) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = K) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, spans (array of start, end), items (array of item ids as text).
+    """One row per different row of docs (doc_id, text): doc_id, of (xxhash64 of the text), n_words, rows (how many such rows),
+    spans (array of start, end), items (array of item ids as text).
 
     spans: each occurrence of an item's window, 1-based and inclusive word positions. See decontaminate() for odd cases.
     """
@@ -96,11 +99,17 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = K) -> Dat
             F.collect_set(F.when(F.col("found").isNotNull(), F.struct("start", (F.col("start") + F.col("len") - 1).alias("end")))).alias("spans"),
             F.array_distinct(F.flatten(F.collect_set("found"))).alias("items"),
         )
-        .select("doc_id", "n_words", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
-        .drop("copy")
+        .select("doc_id", "of", "n_words", "rows", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"))
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = K) -> DataFrame:
+    """The rows of docs that share no window with any item. Rows without an id are told apart by their text."""
+    bad = cut(hits(docs, items, window, k).filter(F.size("spans") > 0).select(F.col("doc_id").alias("bad_id"), F.col("of").alias("bad_of")))
+    side = F.broadcast if bad.count() <= BROADCAST_ROWS else (lambda df: df)
+    return docs.join(side(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_of")), "left_anti")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit (words inside shared windows), n_items, items_sha256, contaminated; one row per row of docs.
 
@@ -108,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     a null item_id matches no name and is left out of the items, though its windows count. Repeated rows each give a row;
     a null doc_id stays null; other columns are ignored; an empty table on either side gives no rows, or clean ones.
     """
-    h = hits(docs, items, window, k)
+    h = hits(docs, items, window, k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     state = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", state, lambda s, x: F.struct(F.greatest(s["upto"], x["end"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["upto"], x["start"] - 1))).alias("n")), lambda s: s["n"])
     return h.select(

@@ -38,8 +38,8 @@ def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3
     )
 
 
-def mix(docs: DataFrame, seed: int = 9, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), epochs (whole copies), rest (words of one more).
+def mix(docs: DataFrame, seed: int = 9, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), epochs (whole copies), rest (words of one more), and carry.
 
     docs: doc_id, text, source. A null or wordless text has size 0 and nothing is taken of it; null is a source of its own,
     last in order. Ties of the key (repeated ids) are ordered by size, and rows equal in both share their places in any order.
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, seed: int = 9, most: int = 3, weights: tuple[int, ...]
         ranges *= 2
     digits = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     sized = (
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), digits.alias("key"))
+        docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), digits.alias("key"))
         .withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges, 32))
         .repartition(parts(spark), "source", "range")
     )
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, seed: int = 9, most: int = 3, weights: tuple[int, ...]
         placed.withColumn("budget", F.floor("target").cast("long"))
         .withColumn("epochs", F.coalesce(F.expr("try_divide(budget - budget % greatest(source_size, 1), source_size)").cast("long"), F.lit(0)))
         .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("ahead") - F.col("near"))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), "epochs", "rest")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), "epochs", "rest", *carry)
     )
 
 

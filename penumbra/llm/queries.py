@@ -15,6 +15,7 @@ from .mixing import op9_mix
 from .quality_model import op10_quality
 from .quality_rules import op2_quality_rules
 from .simhash import op4_simhash
+from .substrings import op5_substring_dedup
 from .tokens import op3_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
         "op7_html_text": op7_html_text,
         "op8_lm_scores": op8_lm_scores,
