@@ -12,7 +12,6 @@ any size is dealt out in pairs of chunks, so that no task holds it whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +32,18 @@ CHUNK = 512
 BROADCAST_KEYS = 1_000_000
 M1, M2, P5 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 SEEDS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x94D049BB133111EB], np.uint64)
-ENDS, PAUSES = (b".", b"!", b"?", b".\"", b".)"), (b",", b";", b":")
 
 
-@lru_cache(maxsize=300_000)
-def _word(w: bytes) -> int:
-    from xxhash import xxh64_intdigest
+def _set(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
 
-    return xxh64_intdigest(w, 5)
+BLANK, STOP, PAUSE, CLOSING = _set(b"\t\n\x0b\x0c\r "), _set(b".!?"), _set(b",;:"), _set(b"\")")
+BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x2545F4914F6CDD1D)
+#: Bytes of text that are analysed at once; a longer text is a chunk of its own.
+CHUNK_BYTES = 1_000_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,49 +51,90 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def cuts(text: str) -> tuple[list[bytes], list[int]]:
-    """The words of a text in lower case, and the index after the last word of each paragraph."""
-    words: list[bytes] = []
-    ends: list[int] = []
-    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
-        own = line.split()
-        if not own:
-            continue
-        at = len(words)
-        words += own
-        last = ends[-1] if ends else 0
-        for i, w in enumerate(own, at + 1):
-            if w.endswith(ENDS) and i - last >= LEAST_WORDS or w.endswith(PAUSES) and i - last >= LEAST_CLAUSE:
-                ends.append(i)
-                last = i
-        if len(words) - last >= LEAST_WORDS:
-            ends.append(len(words))
-    if words and (not ends or ends[-1] < len(words)):
-        ends.append(len(words))
-    return words, ends
-
-
-def paragraphs(text: str | None, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each paragraph: a hash of its words, how many, its band keys (paragraphs, bands) and its sorted shingle hashes."""
-    words, ends = cuts(text or "")
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), np.int64), []
-    h = np.fromiter(map(_word, words), np.uint64, len(words))
-    stops = np.array(ends)
-    starts = np.concatenate([[0], stops[:-1]])
-    size = stops - starts
-    # polynomial hash of the whole paragraph, by Horner weights of the distance to its end
-    weight = np.power(P5, (np.repeat(stops, size) - np.arange(len(h)) - 1).astype(np.uint64))
-    whole = _mixed(np.add.reduceat(_mixed(h) * weight, starts) + size.astype(np.uint64) * M1)
-    grams = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
-    for k in range(SHINGLE):
-        grams = (grams + h[k : k + len(grams)]) * M1
-        grams ^= grams >> np.uint64(32)
-    shingles = [np.unique(grams[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[i : i + 1] for i, (a, b) in enumerate(zip(starts, stops, strict=True))]
-    flat = np.concatenate(shingles)
-    at = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
-    keys = np.stack([np.minimum.reduceat(_mixed(flat ^ s), at) ^ s for s in SEEDS[:bands]], 1)
-    return whole.view(np.int64), size, keys.view(np.int64), shingles
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(0, n - 1), base, np.uint64), dtype=np.uint64)])
+
+
+def _to_end(sizes: np.ndarray) -> np.ndarray:
+    """Of each member of consecutive groups of these sizes, how many follow in its group."""
+    return np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum())) - 1
+
+
+class Chunk:
+    """Words and paragraphs of some texts: of each paragraph the text (of), the words (start, stop) and a hash (whole)."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+        inked = ~BLANK[data]
+        edge = np.diff(np.concatenate([[False], inked]).astype(np.int8))
+        first = np.flatnonzero(edge == 1)
+        last = np.flatnonzero(edge == -1) - 1
+        self.n = n = len(first)
+        self.of = np.zeros(0, np.int64)
+        self.start = self.stop = self.size = np.zeros(0, np.int64)
+        self.whole = self.grams = np.zeros(0, np.uint64)
+        if not n:
+            return
+        sizes = last - first + 1
+        spread = _to_end(sizes)
+        heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        words = _mixed(np.add.reduceat(BYTES[data[inked]] * _powers(P5, int(sizes.max()))[spread], heads))
+        text = np.searchsorted(offsets, first, side="right") - 1
+        line = np.cumsum(data == 10)[first]
+        end, before = data[last], data[np.maximum(last - 1, 0)]
+        kind = np.zeros(n, np.int8)
+        kind[PAUSE[end]] = 1
+        kind[STOP[end] | (CLOSING[end] & (before == 46) & (sizes > 1))] = 2
+        kind[:-1][line[:-1] != line[1:]] = 2
+        kind[:-1][text[:-1] != text[1:]] = 3
+        kind[-1] = 3
+        maybe = np.flatnonzero(kind)
+        stops, held = [], 0
+        for i, k in zip((maybe + 1).tolist(), kind[maybe].tolist(), strict=True):
+            if k == 3 or i - held >= (LEAST_WORDS if k == 2 else LEAST_CLAUSE):
+                stops.append(i)
+                held = i
+        self.stop = np.array(stops)
+        self.start = np.concatenate([[0], self.stop[:-1]])
+        self.size = self.stop - self.start
+        self.of = text[self.start]
+        self.whole = _mixed(np.add.reduceat(words * _powers(P5, int(self.size.max()))[_to_end(self.size)], self.start) + self.size.astype(np.uint64) * M1)
+        grams = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
+        for k in range(SHINGLE):
+            grams = (grams + words[k : k + len(grams)]) * M1
+            grams ^= grams >> np.uint64(32)
+        self.grams = grams
+
+    def keys(self, bands: int) -> np.ndarray:
+        """Band keys (paragraphs, bands): the least seeded hash of a shingle; a paragraph shorter than a shingle is one itself."""
+        out = np.repeat(self.whole[:, None], bands, 1)
+        long = np.flatnonzero(self.size >= SHINGLE)
+        if len(long):
+            at = np.stack([self.start[long], self.stop[long] - SHINGLE + 1], 1).reshape(-1)
+            padded = np.append(self.grams, np.uint64(0))  # as the last bound may be the end
+            for k, s in enumerate(SEEDS[:bands]):
+                out[long, k] = np.minimum.reduceat(_mixed(padded ^ s), at)[::2]
+        return (_mixed(out) ^ SEEDS[:bands][None, :]).view(np.int64)
+
+    def shingles(self, i: int) -> np.ndarray:
+        return np.unique(self.grams[self.start[i] : self.stop[i] - SHINGLE + 1]) if self.size[i] >= SHINGLE else self.whole[i : i + 1]
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, Chunk]]:
+    """Chunks of consecutive texts, each with the number of its first."""
+    part, size, begin = [], 0, 0
+    for i, t in enumerate(texts):
+        part.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(part[-1])
+        if size > CHUNK_BYTES or i + 1 == len(texts):
+            yield begin, Chunk(part)
+            part, size, begin = [], 0, i + 1
+
+
+def cuts(text: str) -> list[int]:
+    """The index after the last word of each paragraph of a text."""
+    return Chunk([text.encode("utf-8", "surrogatepass")]).stop.tolist()
 
 
 def _batches(rows: list[list], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -102,11 +146,8 @@ def band_keys(docs: DataFrame, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t in b.column(0):
-                whole, _, own, _ = paragraphs(t.as_py(), bands)
-                keys.append(own.T.reshape(-1)), ids.append(np.tile(whole, bands))
-            yield _batches([keys, ids], ["key", "paragraph"], [pa.int64()] * 2)
+            for _, c in chunks(b.column(0).to_pylist()):
+                yield _batches([[c.keys(bands).T.reshape(-1)], [np.tile(c.whole.view(np.int64), bands)]], ["key", "paragraph"], [pa.int64()] * 2)
 
     return docs.select("text").mapInArrow(run, "key long, paragraph long")
 
@@ -116,12 +157,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for doc_id, t in zip(b.column(0), b.column(1), strict=True):
-                whole, size, _, _ = paragraphs(t.as_py(), 1)
-                for c, x in zip(cols, (np.full(len(whole), doc_id.as_py()), np.arange(len(whole)), whole, size), strict=True):
-                    c.append(x)
-            yield _batches(cols, ["doc_id", "at", "paragraph", "words"], [pa.int64()] * 4)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for begin, c in chunks(b.column(1).to_pylist()):
+                at = np.arange(len(c.of)) - np.searchsorted(c.of, c.of)  # texts come in order
+                yield _batches([[ids[begin + c.of]], [at], [c.whole.view(np.int64)], [c.size]], ["doc_id", "at", "paragraph", "words"], [pa.int64()] * 4)
 
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, at long, paragraph long, words long")
 
@@ -189,15 +228,15 @@ def similar_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bands: i
         names, types = ["key", "paragraph", "shingles"], [pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out: list[list] = [[], [], []]
-            for t in b.column(0):
-                whole, _, own, sets = paragraphs(t.as_py(), bands)
+            for _, c in chunks(b.column(0).to_pylist()):
+                own, whole = c.keys(bands), c.whole.view(np.int64)
                 if wanted is None:
                     hit = np.ones(own.shape, bool)
                 else:
                     at = np.searchsorted(wanted.value, own)
                     hit = wanted.value[np.minimum(at, len(wanted.value) - 1)] == own if len(wanted.value) else np.zeros(own.shape, bool)
                 for i, k in zip(*np.nonzero(hit), strict=True):
-                    out[0].append(int(own[i, k])), out[1].append(int(whole[i])), out[2].append(sets[i].tobytes())
+                    out[0].append(int(own[i, k])), out[1].append(int(whole[i])), out[2].append(c.shingles(i).tobytes())
                 if len(out[0]) > 50_000:
                     yield _batches(out, names, types)
                     out = [[], [], []]
@@ -224,8 +263,10 @@ def duplicate_runs(docs: DataFrame, similarity: float = SIMILARITY, bands: int =
     n = roots.count()
     side = F.broadcast if n <= BROADCAST_KEYS else (lambda d: d)
     placed = found.join(side(roots), found.paragraph == roots.node, "left").select("doc_id", "at", "words", F.coalesce("root", "paragraph").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    later = cut(placed.join(first, "root").filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "words", "root"))
+    # written out, so that the join below exchanges both its sides and a root of many occurrences can be split
+    first = cut(placed.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"))
+    few = F.broadcast if first.count() <= BROADCAST_KEYS // 2 else (lambda d: d)
+    later = cut(placed.join(few(first), "root").filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "words", "root"))
     own = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "words", "root"))).alias("runs"))  # the paragraphs of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +291,7 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
     """The text without the paragraphs of these numbers; the rest keeps its bytes, but for the white space round what goes."""
     if not text or not gone:
         return text
-    _, ends = cuts(text)
+    ends = cuts(text)
     gone_words, start = set(), 0
     drop = set(gone)
     for i, e in enumerate(ends):
