@@ -134,11 +134,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     labels every score is 0.5. Texts are read whole.
     """
     fold = crc_mod(F.col("doc_id"), 5)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels.filter(fold != 0), sample))
+    trees = train(docs, labels.filter(fold != 0), sample)
+    held = docs.sparkSession.sparkContext.broadcast((trees.base, trees.feature, trees.cut, trees.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Trees(*held.value)
         for b in batches:
-            p = model.value.predict(_stats_frame(b.column(2).to_pylist()))
+            p = model.predict(_stats_frame(b.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", (fold == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
