@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penumbra.operators.graph import cut_lineage as cut  # noqa: F401
+
 #: Words of the white-space contract: bytes.split() splits at just these characters.
 SPACE = r"\x20\x09-\x0D"
 #: What separates words in the decontamination contract.
@@ -18,20 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Sets a checkpoint folder where the session has none (tests); a cluster names a shared one in spark.checkpoint.dir."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written to the shared checkpoint folder and read from there."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lowered(text: Column) -> Column:
     """A-Z to lower case, nothing else."""
     return F.translate(text, UPPER, LOWER)

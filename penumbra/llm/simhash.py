@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from penumbra.operators.graph import connected_components as components
+
 from .common import cut, parts, table
-from .components import components
 
 #: Fingerprints of a bucket that one task compares with each other, or with as many of another chunk.
 CHUNK = 512

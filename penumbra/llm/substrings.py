@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penumbra.operators.graph import connected_components as components
+
 from .common import cut, parts, table
-from .components import components
 
 SHINGLE, SIMILARITY, RUN_WORDS = 5, 0.8, 20
 #: A sentence end, or a comma within a sentence, cuts once so many words have come since the last cut.
