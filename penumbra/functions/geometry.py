@@ -26,7 +26,8 @@ def unit(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column
 def project(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> dict[str, Column]:
     """Foot of a point on a segment: t in [0, 1], foot, distance and distance along. A segment of length 0 has t = 0."""
     len2 = distance2(x0, y0, x1, y1)
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0), len2.cast("double")))), F.lit(0.0))
+    t = F.coalesce(F.try_divide((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0), len2.cast("double")), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     fx, fy = x0 + t * (x1 - x0), y0 + t * (y1 - y0)
     return {"t": t, "foot_x": fx, "foot_y": fy, "distance": F.sqrt(distance2(px, py, fx, fy)), "along": t * F.sqrt(len2.cast("double"))}
 
@@ -34,7 +35,7 @@ def project(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Colu
 def angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
     """Degrees between two vectors, the cosine clamped to [-1, 1]; null if one has length 0."""
     cos = F.try_divide((ux * vx + uy * vy).cast("double"), F.sqrt((ux * ux + uy * uy).cast("double")) * F.sqrt((vx * vx + vy * vy).cast("double")))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    return F.when(cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
 
 def bearing(dx: Column, dy: Column) -> Column:

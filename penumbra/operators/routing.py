@@ -38,12 +38,12 @@ def relax(sources: DataFrame, edges: DataFrame) -> DataFrame:
                     (F.col("shade") + F.col("s")).alias("shade"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"), F.col("edge_id").alias("edge"))
             .withColumnRenamed("to", "node").withColumn("fresh", F.lit(True))
         )
-        # of equal ranks the row that is there already wins, as false sorts first
-        rank = F.struct("cost", F.coalesce("pred", F.lit(-1)).alias("p"), F.coalesce("edge", F.lit(-1)).alias("e"), "len", "shade", "hops", "fresh")
+        # of equal ranks the fresh row wins, as its predecessor may have come by another way since; such a wave ends with its tree
+        rank = F.struct("cost", F.coalesce("pred", F.lit(-1)).alias("p"), F.coalesce("edge", F.lit(-1)).alias("e"), (~F.col("fresh")).alias("old"), "len", "shade", "hops")
         rows = state.withColumn("fresh", F.lit(False)).unionByName(step)
         best = rows.groupBy("src", "param", "node").agg(F.min(rank).alias("r"))
         state = cut_lineage(best.select(
-            "src", "param", "node", "r.cost", "r.len", "r.shade", "r.hops", F.when(F.col("r.p") >= 0, F.col("r.p")).alias("pred"), F.when(F.col("r.e") >= 0, F.col("r.e")).alias("edge"), "r.fresh"))
+            "src", "param", "node", "r.cost", "r.len", "r.shade", "r.hops", F.when(F.col("r.p") >= 0, F.col("r.p")).alias("pred"), F.when(F.col("r.e") >= 0, F.col("r.e")).alias("edge"), (~F.col("r.old")).alias("fresh")))
         if state.filter("fresh").isEmpty():
             return state.select(*TREE)
 

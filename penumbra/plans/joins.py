@@ -27,7 +27,7 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     n = F.assert_true(F.count("*") == 1, F.concat(F.lit("key repeats: "), F.col(key).cast("string")))
     single = right.groupBy(key).agg(*[F.first(c).alias(c) for c in right.columns if c != key], n.alias("__ok"))
     joined = left.join(single.withColumn("__there", F.lit(True)), key, "left")
-    return joined.filter(F.coalesce("__there", F.raise_error(F.lit("a row has no match")).cast("boolean"))).drop("__ok", "__there")
+    return joined.filter(F.coalesce("__there", F.raise_error(F.lit("a row has no match")).cast("boolean")) & F.col("__ok").isNull()).drop("__ok", "__there")
 
 
 @query("j03_validated", "select id, archetype, n_name from {buildings} b join customer on id = c_custkey join nation on c_nationkey = n_nationkey")

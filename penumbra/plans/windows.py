@@ -94,7 +94,7 @@ def w12(t: Tables) -> DataFrame:
 LINES = "(select id // 6 as line, id, x, y from {buildings})"
 
 
-@query("w13_turn_angle", f"select id, round(degrees(acos(greatest(-1.0::double, least(1.0::double, (ax * bx + ay * by_) / (sqrt(cast(ax * ax + ay * ay as double)) * sqrt(cast(bx * bx + by_ * by_ as double))))))), 3) as turn from (select id, x - lag(x) over w as ax, y - lag(y) over w as ay, lead(x) over w - x as bx, lead(y) over w - y as by_ from {LINES} window w as (partition by line order by id))")
+@query("w13_turn_angle", f"select id, round(degrees(acos(greatest(-1.0::double, least(1.0::double, (ax * bx + ay * by_) / (sqrt(cast(ax * ax + ay * ay as double)) * sqrt(cast(bx * bx + by_ * by_ as double))))))) + 0 * (ax * bx), 3) as turn from (select id, x - lag(x) over w as ax, y - lag(y) over w as ay, lead(x) over w - x as bx, lead(y) over w - y as by_ from {LINES} window w as (partition by line order by id))")
 def w13(t: Tables) -> DataFrame:
     b = t.buildings().withColumn("line", F.floor(F.col("id") / 6))
     return I.turns(b, ["line"], "id").select("id", rnd("turn", 3).alias("turn"))
