@@ -48,10 +48,15 @@ def _prints(k: int, window: int, short: list[int]) -> Column:
     """(fp, len) of a text: the winnowed k-grams for full windows, and every window of each short length."""
     out = F.transform(_selected(k, window), lambda h: F.struct(h.alias("fp"), F.lit(window).alias("len")))
     for n in short:
-        out = F.concat(out, F.array_distinct(F.transform(_steps(F.col("n") - (n - 1)), lambda i, n=n: F.struct(F.xxhash64(_joined("words", i, n)).alias("fp"), F.lit(n).alias("len")))))
+        out = F.concat(out, _whole(n))
     return out
 
 
+def _whole(n: int) -> Column:
+    """(fp, len) of every window of n words."""
+    return F.array_distinct(F.transform(_steps(F.col("n") - (n - 1)), lambda i: F.struct(F.xxhash64(_joined("words", i, n)).alias("fp"), F.lit(n).alias("len"))))
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = K) -> DataFrame:
     """One row per different row of docs (doc_id, text): doc_id, of (xxhash64 of the text), n_words, rows (how many such rows),
     spans (array of start, end), items (array of item ids as text).
