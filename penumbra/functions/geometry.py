@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS = 6_371_000.0
@@ -118,3 +118,79 @@ def sun(hour: Column, day_of_year: Column, lat: float, lon: float, tz: float, ha
     alt = F.asin(clamp(sin_alt))
     az = F.acos(clamp((F.sin(decl) - math.sin(phi) * sin_alt) / (math.cos(phi) * F.cos(alt) + 1e-9)))
     return F.degrees(alt), F.degrees(F.when(ha > 0, 2 * math.pi - az).otherwise(az))
+
+
+#: The city's transverse Mercator grid: latitude and longitude of its origin, false easting and northing, scale.
+CITY_GRID = (1.366666666666667, 103.8333333333333, 28001.642, 38744.572, 1.0)
+
+
+def to_grid(lon: Column, lat: Column, grid: tuple[float, float, float, float, float] = CITY_GRID) -> tuple[Column, Column]:
+    """Easting and northing of a transverse Mercator grid on the WGS 84 ellipsoid, by the usual series in the longitude difference."""
+    lat0, lon0, fe, fn, k0 = grid
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    c0, c2, c4, c6 = 1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 / 8 * (e2 + e2**2 / 4 + 15 * e2**3 / 128), 15 / 256 * (e2**2 + 3 * e2**3 / 4), 35 * e2**3 / 3072
+    p0 = math.radians(lat0)
+    m0 = a * (c0 * p0 - c2 * math.sin(2 * p0) + c4 * math.sin(4 * p0) - c6 * math.sin(6 * p0))
+    phi = F.radians(lat)
+    m = a * (c0 * phi - c2 * F.sin(2 * phi) + c4 * F.sin(4 * phi) - c6 * F.sin(6 * phi))
+    nu = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    t, c = F.tan(phi) * F.tan(phi), ep2 * F.cos(phi) * F.cos(phi)
+    q = F.radians(lon - lon0) * F.cos(phi)
+    east = q + (1 - t + c) * q * q * q / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * q * q * q * q * q / 120
+    north = m - m0 + nu * F.tan(phi) * (q * q / 2 + (5 - t + 9 * c + 4 * c * c) * q * q * q * q / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * q * q * q * q * q * q / 720)
+    return fe + k0 * nu * east, fn + k0 * north
+
+
+def solar_position(df: DataFrame, julian_day: str, lat: float, lon: float, terms: dict[str, list[list[tuple[float, float, float]]]], nutation: list[tuple[tuple[float, ...], float, float, float, float]], elevation: float = 0.0, pressure: float = 1013.25, celsius: float = 15.0) -> DataFrame:
+    """df with alt and az in degrees, from a periodic-term theory of the earth's motion (delta T is taken as 0).
+
+    terms: for `L`, `B` and `R` (heliocentric longitude, latitude, radius) the lists of (amplitude, phase, rate) of each power of
+    millennia; nutation: (multiples of the five arguments, a, b, c, d) for the terms a + b * T in longitude and c + d * T in obliquity.
+    The published tables have several hundred entries and are parameters; with their leading terms alone the result is good
+    to some hundredths of a degree. Each step is a projection of its own, so that no expression is worked out twice.
+    """
+    c, rad = F.col, F.radians
+
+    def series(name: str) -> Column:
+        total = F.lit(0.0)
+        for power, rows in enumerate(terms[name]):
+            part = sum((a * F.cos(b + k * c("__jce") / 10) for a, b, k in rows), F.lit(0.0))
+            for _ in range(power):
+                part = part * c("__jce") / 10
+            total = total + part
+        return total / 1e8
+
+    t = c("__jce")
+    args = [
+        297.85036 + 445267.111480 * t - 0.0019142 * t * t, 357.52772 + 35999.050340 * t - 0.0001603 * t * t, 134.96298 + 477198.867398 * t + 0.0086972 * t * t,
+        93.27191 + 483202.017538 * t - 0.0036825 * t * t, 125.04452 - 1934.136261 * t + 0.0020708 * t * t,
+    ]
+    arg = lambda y: rad(sum((k * c(f"__x{i}") for i, k in enumerate(y) if k), F.lit(0.0)))
+    phi = math.radians(lat)
+    u = math.atan(0.99664719 * math.tan(phi))
+    px, py = math.cos(u) + elevation / 6378140 * math.cos(phi), 0.99664719 * math.sin(u) + elevation / 6378140 * math.sin(phi)
+    steps: list[dict[str, Column]] = [
+        {"__jce": (c(julian_day) - 2451545) / 36525},
+        {"__l": F.degrees(series("L")), "__b": -series("B"), "__r": series("R")} | {f"__x{i}": x for i, x in enumerate(args)},
+        {"__psi": sum(((a + b * t) * F.sin(arg(y)) for y, a, b, _, _ in nutation), F.lit(0.0)) / 36e6, "__de": sum(((p + q * t) * F.cos(arg(y)) for y, _, _, p, q in nutation), F.lit(0.0)) / 36e6},
+        {"__eps": rad((84381.448 - 46.8093 * t) / 3600 + c("__de")), "__lam": rad(F.pmod(c("__l") + 180, F.lit(360.0)) + c("__psi") - 20.4898 / (3600 * c("__r")))},
+        {
+            "__alpha": F.degrees(F.atan2(F.sin("__lam") * F.cos("__eps") - F.tan("__b") * F.sin("__eps"), F.cos("__lam"))),
+            "__delta": F.asin(F.sin("__b") * F.cos("__eps") + F.cos("__b") * F.sin("__eps") * F.sin("__lam")),
+            "__sid": 280.46061837 + 360.98564736629 * (c(julian_day) - 2451545) + 0.000387933 * t * t + c("__psi") * F.cos("__eps"), "__xi": rad(8.794 / (3600 * c("__r"))),
+        },
+        {"__h": rad(F.pmod(c("__sid") + lon - c("__alpha"), F.lit(360.0)))},
+        {"__da": F.atan2(-px * F.sin("__xi") * F.sin("__h"), F.cos("__delta") - px * F.sin("__xi") * F.cos("__h"))},
+        {"__d2": F.atan2((F.sin("__delta") - py * F.sin("__xi")) * F.cos("__da"), F.cos("__delta") - px * F.sin("__xi") * F.cos("__h")), "__h2": c("__h") - c("__da")},
+        {"__e0": F.degrees(F.asin(math.sin(phi) * F.sin("__d2") + math.cos(phi) * F.cos("__d2") * F.cos("__h2")))},
+        {
+            "alt": c("__e0") + F.when(c("__e0") >= -0.83, pressure / 1010 * 283 / (273 + celsius) * 1.02 / (60 * F.tan(rad(c("__e0") + 10.3 / (c("__e0") + 5.11))))).otherwise(0.0),
+            "az": F.pmod(F.degrees(F.atan2(F.sin("__h2"), F.cos("__h2") * math.sin(phi) - F.tan("__d2") * math.cos(phi))) + 180, F.lit(360.0)),
+        },
+    ]
+    out = df
+    for s in steps:
+        out = out.withColumns(s)
+    return out.drop(*[n for s in steps for n in s if n.startswith("__")])

@@ -174,3 +174,59 @@ def resistance(metrics: DataFrame) -> DataFrame:
     top = metrics.agg(F.greatest(F.lit(1.0), F.max("crowd")).alias("__top"))
     detour = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("detour") - 1))
     return metrics.crossJoin(F.broadcast(top)).withColumn("w1", 0.2 * F.col("crowd") / F.col("__top") + 0.3 * (1 - F.col("shade")) + 0.3 * detour + 0.2 * F.col("sun_run")).drop("__top")
+
+
+def coolest_within(pairs: DataFrame, edges: DataFrame, tau: float = 1.2, slack: float = 1.0, rounds: int = 22) -> DataFrame:
+    """(pair, lam, len, shade, short_len): for each pair (pair, start, target) the least lambda whose coolest path keeps to tau times the shortest plus slack.
+
+    Bisection: the upper bound is raised fourfold until its path fits, then halved rounds times. lam is null where only the shortest
+    path fits. edges: edge_id, u, v, length, shade_pct; the graph must have at most BROADCAST_EDGES rows. Pairs without a path are left out.
+    """
+    if edges.count() > BROADCAST_EDGES:
+        raise ValueError("the graph is too large to broadcast; use a grid of lambdas with relax and within_detour")
+    held = edges.sparkSession.sparkContext.broadcast(edges.select("u", "v", "length", "shade_pct").toArrow().to_pydict())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from heapq import heappop, heappush
+
+        graph: dict = {}
+        for u, v, n, s in zip(*held.value.values(), strict=True):
+            graph.setdefault(u, []).append((v, n, s))
+            graph.setdefault(v, []).append((u, n, s))
+
+        def search(start: int, target: int, lam: float | None):
+            heap, done = [(0.0, start, 0.0, 0.0)], set()
+            while heap:
+                cost, node, length, shade = heappop(heap)
+                if node == target:
+                    return length, shade
+                if node in done:
+                    continue
+                done.add(node)
+                for to, n, s in graph.get(node, ()):
+                    if to not in done:
+                        heappush(heap, (cost + (n if lam is None else n * (1 - s / 100 + lam)), to, length + n, shade + n * s / 100))
+            return None
+
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for pair, start, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                short = search(start, target, None)
+                if short is None:
+                    continue
+                cap = tau * short[0] + slack
+                low, high, best = 0.0, 1.0, search(start, target, 0.0)
+                lam: float | None = 0.0
+                if best[0] > cap:
+                    while (best := search(start, target, high))[0] > cap and high < 1e6:
+                        low, high = high, high * 4
+                    for _ in range(rounds):
+                        mid = (low + high) / 2
+                        got = search(start, target, mid)
+                        low, high, best = (low, mid, got) if got[0] <= cap else (mid, high, best)
+                    lam, best = (high, best) if best[0] <= cap else (None, short)
+                for c, x in zip(out, (pair, lam, *best, short[0]), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.float64()) for c in out[1:])], names=["pair", "lam", "len", "shade", "short_len"])
+
+    return pairs.select("pair", "start", "target").mapInArrow(run, "pair long, lam double, len double, shade double, short_len double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penumbra.plans import aggregates, demand, evaluation, joins, networks, rasters, rows, scalars, streams, windows  # noqa: F401
+from penumbra.plans import aggregates, demand, evaluation, joins, networks, rasters, rows, scalars, shapes, streams, windows  # noqa: F401
 from penumbra.plans.base import ORACLES, QUERIES, Query
 
 

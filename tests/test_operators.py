@@ -260,3 +260,69 @@ def test_stateful_timer_equals_islands(spark, sf_dir):
 def test_pyramid_and_patches(spark):
     for option, n in ((1, 145), (2, 153), (3, 305), (4, 609)):
         assert R.sky_patches(spark, option).count() == n
+
+
+def test_polygon_constructions():
+    import numpy as np
+
+    from penumbra.operators import polygons as Q
+
+    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
+    assert Q.ring_area(Q.clip(square, square + 2)) == pytest.approx(4)
+    assert Q.ring_area(Q.inset(square[::-1], 1)) == pytest.approx(4) and len(Q.inset(square, 2.5)) == 0
+    turn = np.array([[0.6, -0.8], [0.8, 0.6]])
+    long, short, axis = Q.smallest_rectangle(np.array([(0, 0), (10, 0), (10, 3), (0, 3)], float) @ turn.T)
+    assert (long, short) == pytest.approx((10, 3)) and axis == pytest.approx(np.degrees(np.arctan2(0.8, 0.6)))
+
+
+def test_skeleton_sky_and_walls():
+    import numpy as np
+
+    from penumbra.operators import tiles as K
+
+    bar = np.zeros((20, 40), bool)
+    bar[7:12, 4:36] = True
+    thin = K.skeleton(bar)
+    assert 20 < thin.sum() < 40 and (thin <= bar).all()
+    assert K.centre_scores(bar, bar) == (1.0, 1.0) and K.centre_scores(bar, ~bar & False)[0] == 0.0
+    flat = K.sky_view(np.zeros((5, 5)), 1, 4)
+    assert np.allclose(flat["all"], 1)
+    pit = np.full((9, 9), 50.0)
+    pit[4, 4] = 0
+    assert K.sky_view(pit, 1, 4)["all"][4, 4] < 0.2
+    dem = np.zeros((20, 20))
+    dem[:, 10:] = 9  # a wall that faces west
+    walls = np.zeros_like(dem)
+    walls[2:18, 9] = 9
+    assert abs(np.nanmedian(K.wall_aspects(walls, dem)) - 270) < 20
+
+
+def test_duplicate_lines_and_region_growing(spark):
+    from penumbra.operators import polygons as Q
+    from penumbra.operators import tiles as K
+
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 50.0, 0.0), (2, 0.0, 100.0, 0.0, 150.0)], "line long, x0 double, y0 double, x1 double, y1 double")
+    other = spark.createDataFrame([(9, -5.0, 2.0, 60.0, 3.0), (8, -20.0, 125.0, 20.0, 125.0)], "seg long, x0 double, y0 double, x1 double, y1 double")
+    assert [r.line for r in Q.duplicate_lines(lines, other).collect()] == [1]
+    px = spark.createDataFrame([(0, c, 10.0 if c < 4 else 90.0, 0.0, 0.0, 7 if c == 0 else None) for c in range(8)], "row long, col long, l double, a double, b double, label long")
+    assert sorted(r.col for r in K.grow_regions(px, 14, 10).collect()) == [0, 1, 2, 3]
+    assert sorted(r.col for r in K.grow_regions(px, 14, 2).collect()) == [0, 1, 2]
+
+
+def test_city_grid_origin_and_sun(spark):
+    from penumbra.plans.shapes import NUTATION, SUN_TERMS
+
+    x, y = G.to_grid(F.lit(103.8333333333333), F.lit(1.366666666666667))
+    assert spark.range(1).select(x, y).first() == pytest.approx((28001.642, 38744.572), abs=1e-6)
+    df = spark.createDataFrame([(2460370.5 + 5.5 / 24,)], "jd double")  # 2024-03-01 05:30 UTC, 13:30 local
+    got = G.solar_position(df, "jd", 1.35, 103.8, SUN_TERMS, NUTATION).first()
+    short = spark.range(1).select(*G.sun(F.lit(14.0), F.lit(61.0), 1.35, 103.8, 8)).first()
+    assert got.alt == pytest.approx(short[0], abs=0.4) and got.az == pytest.approx(short[1], abs=3)
+
+
+def test_adaptive_coolest_keeps_to_the_cap(spark):
+    e = spark.createDataFrame([(1, 0, 1, 10, 0), (2, 1, 2, 10, 0), (3, 0, 3, 11, 90), (4, 3, 2, 11, 90), (5, 0, 4, 40, 100), (6, 4, 2, 40, 100)], "edge_id long, u long, v long, length long, shade_pct long")
+    pairs = spark.createDataFrame([(1, 0, 2), (2, 0, 99)], "pair long, start long, target long")
+    out = P.coolest_within(pairs, e, tau=1.2, slack=0.0).collect()
+    assert [(r.pair, r.len, r.short_len) for r in out] == [(1, 22.0, 20.0)] and 0 <= out[0].lam < 1
+    assert P.coolest_within(pairs, e, tau=9.0).first().len == 80.0
