@@ -6,22 +6,22 @@ probabilities (languages x buckets) is broadcast, and batches are scored by gath
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import bounded, crc_mod, table
 
 BITS, ORDERS = 15, (1, 2, 3)
 #: Labelled documents that the model is fitted on, about: more are thinned by a hash of their id.
 SAMPLE = 50_000
 #: Characters that are hashed and gathered at once.
 CHARS = 400_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -54,7 +54,7 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """docs: doc_id, text, lang, rows to learn from. Returns the languages and log priors beside log probabilities (languages, 1 + buckets)."""
-    docs = docs.filter("lang is not null and text is not null")
+    docs = bounded(docs).filter("lang is not null and text is not null")
     n = docs.count()
     if n > sample:
         docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < int(1e6 * sample / n) + 1)
@@ -107,7 +107,7 @@ def score(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """All columns of docs and lang_pred, score. Only the text is looked at."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     held = spark.sparkContext.broadcast((langs, model))
     taken = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = taken.index("text")

@@ -24,7 +24,7 @@ def docs(spark, sf_dir):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, and extra columns whose names the operators use inside."""
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 3), (None, "null id here", None, "b", 1), (None, "null id here", None, "b", 1), (4, "same row", "fr", "a", 8), (4, "same row", "fr", "a", 8), (5, LONG, "de", None, 9), (6, "x " * 20_000, "de", "a", 9), (7, "!!! 123 ###", "es", "b", 1)]
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 3), (None, "null id here", None, "b", 1), (None, "null id here", None, "b", 1), (4, "same row", "fr", "a", 8), (4, "same row", "fr", "a", 8), (5, LONG, "de", None, 9), (6, "x " * 20_000, "de", "a", 9), (7, "!!! 123 ### ½²", "es", "b", 1)]
     df = spark.createDataFrame(rows, DOCS)
     for c in ("of", "n", "words", "fp", "score", "key", "range", "at", "root", "lang_pred", "held_out", "win", "size", "target"):
         df = df.withColumn(c, F.lit("clash"))
