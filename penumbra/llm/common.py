@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of a batch that Python workers get at once, so that very long texts don't pile up in their memory.
+BATCH_ROWS, BATCH_BYTES = 2000, "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session set to pass small batches to Python workers; smaller limits of the session's own stay."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def lowered(text: Column) -> Column:
     """A-Z to lower case, nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table
 
 #: A subtree is a template on at least so many pages and at least that share of its host's pages.
 LEAST_PAGES, LEAST_SHARE = 10, 0.3
@@ -158,7 +158,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     stays null; other columns are ignored; an empty table gives no rows. Nothing is capped.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("of"))
+    rows = bounded(pages).select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("of"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import bounded, crc_mod, cut, table
 
 #: Words with a class of their own, and words whose counts are broadcast at most: fixed sizes, whatever the corpus.
 CLASSES, BROADCAST_WORDS = 2046, 1 << 18
@@ -135,7 +135,7 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, broadcast_words: int = BR
     deleted to learn the mixture. A null or empty text has the one token `end`. Rows equal in id and text score alike. Without training
     rows N and V are 0. Other columns are ignored; an empty table gives no rows; texts are read whole.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = bounded(docs).sparkSession.sparkContext
     fold = crc_mod(F.col("doc_id"), 7)
     learn = docs.filter(fold != 2)
     counts = cut(word_counts(learn))

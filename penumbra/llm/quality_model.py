@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import bounded, crc_mod, table
 
 #: Labelled documents that the trees are fitted on, about: more are thinned by a hash of their id.
 SAMPLE = 20_000
@@ -134,7 +134,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     labels every score is 0.5. Texts are read whole.
     """
     fold = crc_mod(F.col("doc_id"), 5)
-    trees = train(docs, labels.filter(fold != 0), sample)
+    trees = train(bounded(docs), labels.filter(fold != 0), sample)
     held = docs.sparkSession.sparkContext.broadcast((trees.base, trees.feature, trees.cut, trees.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

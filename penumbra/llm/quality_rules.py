@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded, table
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -95,7 +95,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             cols = list(zip(*(judge(t.as_py()) for t in b.column(1)), strict=True)) or [()] * 10
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types[1:], strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

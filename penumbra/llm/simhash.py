@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from penumbra.operators.graph import connected_components as components
 
-from .common import cut, parts, table
+from .common import bounded, cut, parts, table
 
 #: Fingerprints of a bucket that one task compares with each other, or with as many of another chunk.
 CHUNK = 512
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from penumbra.operators.graph import connected_components as components
 
-from .common import cut, parts, table
+from .common import bounded, cut, parts, table
 
 SHINGLE, SIMILARITY, RUN_WORDS = 5, 0.8, 20
 #: A sentence end, or a comma within a sentence, cuts once so many words have come since the last cut.
@@ -29,8 +29,8 @@ LEAST_WORDS, LEAST_CLAUSE = 5, 8
 BANDS = 4
 #: Paragraphs of a bucket that a task verifies with each other, or with as many of another chunk.
 CHUNK = 512
-#: Bucket keys up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Bucket keys up to which they are broadcast (8 bytes each), and rows of other tables; more are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 100_000
 M1, M2, P5 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 SEEDS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x94D049BB133111EB], np.uint64)
 
@@ -259,14 +259,14 @@ def similar_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bands: i
 
 def duplicate_runs(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, at, words, root): paragraphs to remove: not the first of their cluster, and in a run of such of at least run_words words."""
-    roots = cut(components(similar_paragraphs(docs, similarity, bands)))
+    roots = cut(components(similar_paragraphs(bounded(docs), similarity, bands)))
     found = occurrences(docs)
     n = roots.count()
-    side = F.broadcast if n <= BROADCAST_KEYS else (lambda d: d)
+    side = F.broadcast if n <= BROADCAST_ROWS else (lambda d: d)
     placed = found.join(side(roots), found.paragraph == roots.node, "left").select("doc_id", "at", "words", F.coalesce("root", "paragraph").alias("root"))
     # written out, so that the join below exchanges both its sides and a root of many occurrences can be split
     first = cut(placed.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"))
-    few = F.broadcast if first.count() <= BROADCAST_KEYS // 2 else (lambda d: d)
+    few = F.broadcast if first.count() <= BROADCAST_ROWS else (lambda d: d)
     later = cut(placed.join(few(first), "root").filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "words", "root"))
     own = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "words", "root"))).alias("runs"))  # the paragraphs of one text
 
@@ -331,7 +331,7 @@ def substring_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the repeats taken out of text (and n_chars set anew, if there); documents of which nothing is left go."""
     gone = cut(duplicate_runs(docs, similarity, bands, run_words).groupBy("doc_id").agg(F.collect_set("at").alias("__gone")))
-    side = F.broadcast if gone.count() <= BROADCAST_KEYS // 10 else (lambda d: d)
+    side = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda d: d)
     joined = docs.join(side(gone), "doc_id", "left").select(*docs.columns, "__gone")
     names = docs.columns
     at = names.index("text")

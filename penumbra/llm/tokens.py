@@ -14,7 +14,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded, table
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Pieces whose counts a worker remembers; beyond it they are counted again, so memory stays bounded.
@@ -112,7 +112,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
