@@ -20,6 +20,11 @@ BROADCAST_EDGES = 2_000_000
 TREE = ["src", "param", "node", "cost", "len", "shade", "hops", "pred", "edge"]
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few small rows that each mean a search, dealt out to four tasks for each core."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def relax(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Trees (src, param, node, cost, len, shade, hops, pred, edge) within each source's cut-off.
 
@@ -87,7 +92,7 @@ def route(sources: DataFrame, edges: DataFrame) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=TREE)
 
-    return sources.select("src", "param", "start", "cutoff").mapInArrow(run, ", ".join(f"{c} long" for c in TREE))
+    return _spread(sources.select("src", "param", "start", "cutoff"), "src", "param").mapInArrow(run, ", ".join(f"{c} long" for c in TREE))
 
 
 def push_up(trees: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -112,6 +117,25 @@ def push_up(trees: DataFrame, volumes: DataFrame) -> DataFrame:
     return flows.groupBy("src", "param", "edge").agg(F.sum("flow").alias("flow"))
 
 
+def push_up_trees(trees: DataFrame, volumes: DataFrame) -> DataFrame:
+    """As push_up, one array function for each source's tree, which its cut-off bounds; one shuffle in all."""
+    named = trees.join(volumes, ["src", "param", "node"], "left").select("src", "param", "node", "hops", "pred", "edge", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("hops", "descending"), ("node", "ascending")])
+        node, pred, edge, volume = (table.column(c).to_pylist() for c in ("node", "pred", "edge", "volume"))
+        carry = dict(zip(node, volume, strict=True))
+        flow: dict = {}
+        for n, p, e in zip(node, pred, edge, strict=True):
+            if e is not None:
+                flow[e] = flow.get(e, 0.0) + carry[n]
+                carry[p] += carry[n]
+        k = len(flow)
+        return pa.table({"src": table.column("src")[:k], "param": table.column("param")[:k], "edge": pa.array(list(flow), pa.int64()), "flow": pa.array(list(flow.values()), pa.float64())})
+
+    return named.groupBy("src", "param").applyInArrow(run, "src long, param long, edge long, flow double")
+
+
 def cool_costs(edges: DataFrame, lambdas: DataFrame) -> DataFrame:
     """The edge table once for each lambda (param, lam_pct): cost = length * ((100 - shade percent) + lambda percent)."""
     return edges.crossJoin(F.broadcast(lambdas)).withColumn("cost", F.col("length") * ((100 - F.col("shade_pct")) + F.col("lam_pct"))).withColumn("shade", F.col("length") * F.col("shade_pct"))
@@ -229,4 +253,4 @@ def coolest_within(pairs: DataFrame, edges: DataFrame, tau: float = 1.2, slack:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.float64()) for c in out[1:])], names=["pair", "lam", "len", "shade", "short_len"])
 
-    return pairs.select("pair", "start", "target").mapInArrow(run, "pair long, lam double, len double, shade double, short_len double")
+    return _spread(pairs.select("pair", "start", "target"), "pair").mapInArrow(run, "pair long, lam double, len double, shade double, short_len double")

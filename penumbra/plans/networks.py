@@ -251,8 +251,18 @@ VOL = """, w as (select id * 23 % (select count(*) from part) as node, sum(gfa)
 v as (select * from (select r.src, r.node, r.cost, (100 + r.src % 50) * (w * exp(-(r.cost / 10.0::double) / 350)) / sum(w * exp(-(r.cost / 10.0::double) / 350)) over (partition by r.src) as vol from r join w using (node)) where cost >= 200)"""
 
 
-@query("d07_flow", TREE + VOL + ", k as (select src, pred, edge, vol from p join v using (src, node) union all select k.src, p.pred, p.edge, k.vol from k join p on p.src = k.src and p.node = k.pred) select edge, round(sum(vol), 3) as flow from k group by edge")
+FLOW = TREE + VOL + ", k as (select src, pred, edge, vol from p join v using (src, node) union all select k.src, p.pred, p.edge, k.vol from k join p on p.src = k.src and p.node = k.pred) select edge, round(sum(vol), 3) as flow from k group by edge"
+
+
+@query("d07_flow", FLOW)
 def d07(t: Tables) -> DataFrame:
+    trees = N.cut_lineage(R.route(sources(t), plain_edges(t)))
+    vols = volumes(t, trees).select("src", "param", "node", F.col("vol").alias("volume"))
+    return R.push_up_trees(trees, vols).filter("flow > 0").groupBy("edge").agg(rnd(F.sum("flow"), 3).alias("flow"))
+
+
+@query("a11_flow_by_levels", FLOW)
+def d07b(t: Tables) -> DataFrame:
     trees = N.cut_lineage(R.route(sources(t), plain_edges(t)))
     vols = volumes(t, trees).select("src", "param", "node", F.col("vol").alias("volume"))
     return R.push_up(trees, vols).filter("flow > 0").groupBy("edge").agg(rnd(F.sum("flow"), 3).alias("flow"))

@@ -144,6 +144,7 @@ def test_flow_up_the_trees_equals_paths(spark):
     trees = P.route(s, e).cache()
     vol = trees.select("src", "param", "node", (F.col("node") + 1.0).alias("volume"))
     flow = {(r.src, r.edge): r.flow for r in P.push_up(trees, vol).collect() if r.flow}
+    assert flow == {(r.src, r.edge): r.flow for r in P.push_up_trees(trees, vol).collect() if r.flow}
     walk = P.paths(trees, trees.select("src", "param", "node"))
     want = walk.groupBy("src", "edge").agg(F.sum(F.col("target") + 1.0).alias("f"))
     assert flow == {(r.src, r.edge): r.f for r in want.collect()}
