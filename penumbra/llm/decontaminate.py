@@ -73,30 +73,33 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = K) -> Dat
     short = sorted(r[0] for r in bench.filter(F.col("n") < window).select("n").distinct().collect())  # below window, so few
     prints = bench.select(F.col("len").alias("own"), F.explode_outer(_prints(k, window, short)).alias("p")).select("own", "p.fp", F.col("p.len").alias("len")).filter("fp is not null and len = own").select("fp", "len").distinct()
     small = windows.count() <= BROADCAST_WINDOWS
-    side = F.broadcast if small else (lambda df: df)
-
     docs = _with_grams(docs.select("doc_id", F.xxhash64("text").alias("of"), words_of(F.col("text")).alias("words")), k)
+    wide = ["doc_id", "of", "n", "words", "grams"]
     none = F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(0).alias("len")))  # keeps a row for each document
-    found = (
-        docs.withColumn("prints", F.concat(none, _prints(k, window, short)))
-        .select("doc_id", "of", "n", "words", "grams", F.explode_outer("prints").alias("p"))
-        .select("doc_id", "of", "n", "words", "grams", "p.fp", F.col("p.len").alias("len"))
-        .join(side(prints.withColumn("hit", F.lit(True))), ["fp", "len"], "left")
-        .filter("hit or fp is null")
-    )
+    if small:
+        exploded = docs.withColumn("prints", F.concat(none, _prints(k, window, short))).select(*wide, F.explode_outer("prints").alias("p"))
+        joined = exploded.select(*wide, "p.fp", F.col("p.len").alias("len")).join(F.broadcast(prints.withColumn("hit", F.lit(True))), ["fp", "len"], "left")
+        found = joined.filter("hit or fp is null")
+    else:  # only keys and fingerprints are shuffled, and each document's hits are joined back to it
+        keys = docs.withColumn("prints", _prints(k, window, short)).select("doc_id", "of", F.explode_outer("prints").alias("p")).select("doc_id", "of", "p.fp", F.col("p.len").alias("len"))
+        own = keys.join(prints, ["fp", "len"]).groupBy(F.col("doc_id").alias("own_id"), F.col("of").alias("own_of")).agg(F.collect_set(F.struct("fp", "len")).alias("hits"))
+        back_to = docs.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("of").eqNullSafe(F.col("own_of")), "left")
+        found = back_to.select(*wide, F.explode_outer(F.concat(none, F.coalesce("hits", F.slice(none, 1, 0)))).alias("p")).select(*wide, "p.fp", F.col("p.len").alias("len"))
     back = window - k
     around = F.flatten(F.transform(
         F.filter(_steps(F.size("grams")), lambda i: F.element_at("grams", i) == F.col("fp")),
         lambda i: F.sequence(F.greatest(F.lit(1), i - back), F.least(i, F.col("n") - (window - 1))),
     ))
     starts = F.when(F.col("fp").isNull(), F.array().cast("array<int>")).when(F.col("len") == window, around).otherwise(_steps(F.col("n") - F.col("len") + 1))
-    spans = (
+    rows = (
         found.withColumn("starts", starts)
         .select("doc_id", "of", "n", "fp", "len", F.explode_outer(F.transform(F.array_distinct("starts"), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s, F.col("len")), " ").alias("win")))).alias("w"))
         .select("doc_id", "of", "n", "fp", "len", "w.start", "w.win")
-        .join(side(windows), "win", "left")
-        .filter("found is not null or fp is null")
     )
+    if small:
+        spans = rows.join(F.broadcast(windows), "win", "left").filter("found is not null or fp is null")
+    else:  # the rows that only stand for their document have no window, and would all meet at null
+        spans = rows.join(windows, "win").unionByName(rows.filter("fp is null").withColumn("found", F.lit(None).cast("array<string>")))
     return (
         spans.groupBy("doc_id", "of").agg(
             F.max("n").cast("long").alias("n_words"),

@@ -65,7 +65,9 @@ def brute_hits(docs, items, window=10):
     return sorted(out, key=str)
 
 
-def test_decontamination_finds_every_shared_window(spark):
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination_finds_every_shared_window(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
     g = random.Random(1)
     voc = "a b c d e f é 1".split()
     items = [(k, " ".join(g.choices(voc, k=g.choice((0, 1, 3, 9, 10, 11, 25))))) for k in range(12)] + [(50, None)]
