@@ -67,13 +67,17 @@ def point_segment_join(points: DataFrame, segments: DataFrame, reach: float, mor
     return own.join(dealt, ["__cx", "__cy"]).withColumns(foot).filter((F.col("distance") <= reach) & (F.col("distance") > more_than)).drop("__cx", "__cy")
 
 
-def points_in_rings(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def points_in_rings(points: DataFrame, edges: DataFrame, key: str, cell: float = 500.0) -> DataFrame:
     """(key, ring) for points (key, x, y) inside rings given by their edges (ring, x0, y0, x1, y1); even-odd rule.
 
-    Rings are few and broadcast by Catalyst if small; each point meets only edges of rings whose box holds it.
+    A ring's box is dealt to the cells that it covers, so a point meets only rings whose box touches its own cell.
     """
     boxes = edges.groupBy("ring").agg(F.min(F.least("x0", "x1")).alias("bx0"), F.max(F.greatest("x0", "x1")).alias("bx1"), F.min(F.least("y0", "y1")).alias("by0"), F.max(F.greatest("y0", "y1")).alias("by1"))
-    held = points.join(boxes, (points.x >= boxes.bx0) & (points.x <= boxes.bx1) & (points.y >= boxes.by0) & (points.y <= boxes.by1)).select(key, "x", "y", "ring")
+    span = lambda a, b: F.explode(F.sequence(_cell(F.col(a), cell), _cell(F.col(b), cell)))
+    dealt = boxes.withColumn("__cx", span("bx0", "bx1")).withColumn("__cy", span("by0", "by1"))
+    own = points.withColumn("__cx", _cell(F.col("x"), cell)).withColumn("__cy", _cell(F.col("y"), cell))
+    inside_box = F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1"))
+    held = own.join(dealt, ["__cx", "__cy"]).filter(inside_box).select(key, "x", "y", "ring")
     hit = held.join(edges, "ring").filter(crosses(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]))
     return hit.groupBy(key, "ring").count().filter("count % 2 = 1").select(key, "ring")
 
