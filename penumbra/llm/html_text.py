@@ -29,16 +29,20 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav footer aside form button select menu dialog object canvas audio video map".split())
+DROPPED = frozenset("head nav footer aside form fieldset button select menu dialog object canvas audio video map".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tr td th figure figcaption".split())
-BLOCK = PROSE | frozenset("html body main article section div header address center fieldset details summary hr".split()) | DROPPED
+BLOCK = PROSE | frozenset("html body main article section div header address center details summary hr".split()) | DROPPED
 MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay "
-    "sidebar aside comment comments disqus nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar share sharing social "
-    "related newsletter subscribe signup login pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising adsbygoogle adslot adbox adunit banner sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "notice alert notification announcement popup modal overlay paywall sidebar aside comment comments commentlist disqus discussion replies "
+    "nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar share sharing social "
+    "related newsletter subscribe subscription signup login pagination pager skip".split()
 )
+#: Names that make an article or main element none, and those that make a header of a site out of an element outside any.
+NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments commentlist related teaser".split())
+SITE = frozenset("site page top global main".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 STOPS = frozenset(("ul", "ol", "dl", "table", "article", "body", "html"))
@@ -56,8 +60,10 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
         name = name.lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body"):
+            words = set(re.split(r"[^a-z0-9]+", value))
+            if words & (NO_ARTICLE if tag in MAIN else NAMES) or not inside and "header" in words and (words & SITE or words == {"header"}):
+                return True
     return False
 
 

@@ -298,6 +298,8 @@ def test_main_text_of_a_page():
     assert html_text.main_text(None) == "" == html_text.main_text("<nav>x</nav><p")
     assert html_text.main_text("<article><p>cut &am") == "cut &am"
     assert html_text.main_text("a < b & c") == "a < b & c"
+    more = "<div class='site-header'>H</div><div id='page'><article class='post'><header class='entry-header'>by me<h2>T</h2></header><p>Text.<div class='ad-slot'>buy</div></article><article class='comment'><p>me too</article></div><div class=alert>!</div>"
+    assert html_text.main_text(more) == "T\n\nText."
 
 
 def test_templates_of_a_host_go(spark):
