@@ -1,21 +1,27 @@
 """Language-model scores by deleted interpolation (operator 8).
 
 Every word of the training texts is counted in Spark; the counts stay a table, to which the rarer words of all texts are
-joined, and only the most frequent words, of a fixed number, are broadcast. Bigrams are counted over classes: the CLASSES most
-frequent words each, the end of a text, and one class for all other words, which shares its probability among its words by
-their add-one unigram estimates. A bigram's probability mixes maximum-likelihood estimates of orders two, one and zero;
-the weights belong to buckets of the context's frequency and are learned by expectation-maximisation: the counts of the
-held-out fold are predicted from the counts with that fold deleted.
+joined, and only the most frequent words, of a fixed number, are broadcast. Every bigram of words is counted, whatever its
+words' frequencies. Its estimate is mixed with that of a bigram of classes: the CLASSES most frequent words each, the end of a
+text, and one class for all other words, which shares its probability among its words by their add-one unigram estimates. A
+class bigram's probability mixes maximum-likelihood estimates of orders two, one and zero. All weights belong to buckets of
+the context's frequency and are learned by expectation-maximisation: the counts of the held-out fold are predicted from the
+counts with that fold deleted.
+
+log P(w | c) = log P_class(w | c) + log(1 - weight of c) + log(1 + weight * n(c, w) / n(c) / ((1 - weight) * P_class(w | c))).
+The second term belongs to c alone and the third, the gain, is zero unless training has the pair. So the gains are a table of
+the pairs seen, to which the pairs of all texts are joined; pairs of two classes are in the broadcast table of classes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, crc_mod, cut, table
@@ -24,6 +30,8 @@ from .common import bounded, crc_mod, cut, table
 CLASSES, BROADCAST_WORDS = 2046, 1 << 18
 #: Different words that a task holds before it passes their counts on.
 HELD_WORDS = 400_000
+#: Word pairs that a task holds before it passes their counts on.
+HELD_PAIRS = 2_000_000
 RARE, END = 0, 1
 ROUNDS = 30
 
@@ -33,28 +41,32 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over docs (text); the end of a text is the empty word."""
+    """(word, n, deleted) over docs (text, deleted), deleted being the counts where that is true; the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        gone: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([gone[w] for w in counts], pa.int64())], names=["word", "n", "deleted"])
 
         for b in batches:
-            for t in b.column(0):
-                counts.update(words_of(t.as_py()))
-                counts[b""] += 1
+            for t, d in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own = [*words_of(t.as_py()), b""]
+                counts.update(own)
+                if d:
+                    gone.update(own)
                 if len(counts) > HELD_WORDS:
                     yield out()
                     counts.clear()
+                    gone.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "deleted").mapInArrow(run, "word binary, n long, deleted long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
 
 
-def frequent(counts: DataFrame, most: int) -> tuple[int, list[bytes], np.ndarray]:
-    """The least count t that at most `most` words reach, and those words (without the end) by falling count, and their counts."""
+def frequent(counts: DataFrame, most: int) -> tuple[int, list[bytes], np.ndarray, np.ndarray]:
+    """The least count t that at most `most` words reach, and those words (without the end) by falling count, their counts and deleted counts."""
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8).cast("long"))
     sizes = sorted(((r[0], r[1]) for r in counts.filter("word <> X''").groupBy(step.alias("s")).count().collect()), reverse=True)  # some hundred rows
     least, total = None, 0
@@ -64,9 +76,82 @@ def frequent(counts: DataFrame, most: int) -> tuple[int, list[bytes], np.ndarray
             break
         least = s
     if least is None:
-        return 1 << 62, [], np.zeros(0, np.int64)
+        return 1 << 62, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     got = counts.filter((F.col("n") >= least) & F.expr("word <> X''")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return least, got.column("word").to_pylist(), got.column("n").to_numpy().astype(np.int64)
+    return least, got.column("word").to_pylist(), *(got.column(k).to_numpy().astype(np.int64) for k in ("n", "deleted"))
+
+
+def word_key(word: bytes) -> int:
+    """A negative number for a word that is not broadcast, of 60 bits of its MD5; the same as key_of."""
+    return -1 - (int.from_bytes(hashlib.md5(word).digest()[:8], "big") >> 4)
+
+
+def key_of(word: Column) -> Column:
+    return -1 - F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+
+
+def word_pairs(texts: list, get, end: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts at once: index of the text, context and next word of each pair but those of two classes.
+
+    A word is its rank among the broadcast words (get), `end` for the end, else its negative word_key; ranks under `own` are classes.
+    """
+    ids, of = [end], []
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        ids += [k if (k := get(w, -1)) >= 0 else word_key(w) for w in words]
+        ids.append(end)
+        of += [i] * (len(words) + 1)
+    a, of = np.array(ids, np.int64), np.array(of, np.int64)
+    c, w = a[:-1], a[1:]
+    classed = ((a >= 0) & (a < own)) | (a == end)
+    keep = ~(classed[:-1] & classed[1:])
+    return of[keep], c[keep], w[keep]
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts rows by the keys, and where each run of equal rows begins in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], 0)
+    return order, np.flatnonzero(new)
+
+
+def pair_counts(docs: DataFrame, held, own: int) -> DataFrame:
+    """(c, w, n, deleted): every pair of words in docs (text, deleted) but those of two classes; held: the broadcast words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        get = {w: i for i, w in enumerate(words)}.get
+        parts: list = []
+
+        def out() -> pa.RecordBatch:
+            c, w, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, at = runs(c, w)
+            n = np.diff(np.append(at, len(order)))
+            gone = np.add.reduceat(d[order].astype(np.int64), at) if len(at) else n
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (c[order][at], w[order][at], n, gone)], names=["c", "w", "n", "deleted"])
+
+        for b in batches:
+            of, c, w = word_pairs(b.column(0).to_pylist(), get, len(words), own)
+            parts.append((c, w, np.array(b.column(1).to_pylist(), bool)[of]))
+            if sum(len(x[0]) for x in parts) > HELD_PAIRS:
+                yield out()
+                parts.clear()
+        if parts:
+            yield out()
+
+    return docs.select("text", "deleted").mapInArrow(run, "c long, w long, n long, deleted long").groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
+
+
+def with_word_counts(pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """pairs with cn, cd, wn, wd: counts and deleted counts of context and next word where they are in left (key, n, deleted), else null."""
+    for k in "wc":
+        found = left.select(F.col("key").alias(k), F.col("n").alias(f"{k}n"), F.col("deleted").alias(f"{k}d"))
+        null = F.lit(None).cast("long")
+        known = pairs.filter(F.col(k) >= 0).withColumn(f"{k}n", null).withColumn(f"{k}d", null)
+        pairs = known.unionByName(pairs.filter(F.col(k) < 0).join(found, k))
+    return pairs
 
 
 def class_pairs(docs: DataFrame, classes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +213,33 @@ def transition_logs(pair: np.ndarray, n: np.ndarray, weights: np.ndarray, size:
     return np.log10(p).astype(np.float32)
 
 
+#: Steps of a doubling in which ratios of two estimates are told apart when weights are learned.
+FINE, UNSEEN = 16, -(1 << 20)
+
+
+def word_weights(bucket: np.ndarray, ratio: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Weight of the word bigram in each of 64 buckets; ratio: word over class estimate of pairs seen so many times in the deleted fold.
+
+    A context that was never seen (bucket 0) has no word bigram.
+    """
+    lam = np.full(64, 0.5)
+    for _ in range(ROUNDS):
+        part = lam[bucket] * ratio
+        part = part / (part + 1 - lam[bucket])
+        # one pseudo-observation of each kind, as for the classes
+        lam = (np.bincount(bucket, part * seen, 64) + 1) / (np.bincount(bucket, seen, 64) + 2)
+    lam[0] = 0
+    return lam
+
+
+def ratios(model: tuple, c: np.ndarray, w: np.ndarray, n: np.ndarray, cn: np.ndarray, wn: np.ndarray) -> np.ndarray:
+    """n / cn over the class estimate of w after c; model: logs by class, ranks that are classes, the end's rank, total of the add-one counts, log share of rare words."""
+    logs, own, end, whole, rare_log = model
+    cc, cw = (np.where(k == end, END, np.where((k >= 0) & (k < own), k + 2, RARE)) for k in (c, w))
+    log = logs[cc, cw] + np.where(cw == RARE, np.log10((wn + 1) / whole) - rare_log, 0)
+    return n / np.maximum(cn, 1) / 10.0**log
+
+
 def lm_scores(docs: DataFrame, classes: int = CLASSES, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of docs (doc_id, text).
 
@@ -138,23 +250,82 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, broadcast_words: int = BR
     sc = bounded(docs).sparkSession.sparkContext
     fold = crc_mod(F.col("doc_id"), 7)
     learn = docs.filter(fold != 2)
+    learn = learn.withColumn("deleted", fold == 0)
     counts = cut(word_counts(learn))
-    total, kinds, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.expr("word = X''"), F.col("n"))), F.lit(0))).first()
-    least, words, word_n = frequent(counts, broadcast_words)
+    at_end = lambda k: F.coalesce(F.sum(F.when(F.expr("word = X''"), F.col(k))), F.lit(0))
+    total, gone, kinds, ends, ends_gone = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("deleted"), F.lit(0)), F.count("*"), at_end("n"), at_end("deleted")).first()
+    least, words, word_n, word_d = frequent(counts, broadcast_words)
     own = words[:classes]
-    size = len(own) + 2
-    pair, n, deleted = class_pairs(learn.withColumn("deleted", fold == 0), {w: i + 2 for i, w in enumerate(own)})
-    logs = transition_logs(pair, n, mixture(pair, n, deleted, size), size)
+    size, end = len(own) + 2, len(words)
+    pair, n, deleted = class_pairs(learn, {w: i + 2 for i, w in enumerate(own)})
+    mixed = mixture(pair, n, deleted, size)
+    logs = transition_logs(pair, n, mixed, size)
     whole = total + kinds + 1
-    own_mass = (int(word_n[: len(own)].sum()) + len(own) + ends + 1) / whole
-    rare_log = float(np.log10(max(1 - own_mass, 1 / whole)))
+    share_left = lambda mass, of: float(np.log10(max(1 - (mass + len(own) + 1) / of, 1 / of)))
+    rare_log = share_left(int(word_n[: len(own)].sum()) + ends, whole)
+    full = (logs, len(own), end, whole, rare_log)
+    rest_whole = whole - gone
+    rest_mass = int((word_n - word_d)[: len(own)].sum()) + ends - ends_gone
+    rest = (transition_logs(pair, n - deleted, mixed, size), len(own), end, rest_whole, share_left(rest_mass, rest_whole))
+    held_words = sc.broadcast(words)
+    left = counts.filter((F.col("n") < least) & F.expr("word <> X''")).select(key_of(F.col("word")).alias("key"), "word", "n", "deleted")
+    pairs = cut(pair_counts(learn, held_words, len(own)))
+    held_counts = sc.broadcast((np.append(word_n, ends), np.append(word_d, ends_gone), full, rest))
+
+    def numbers(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """Columns of a batch of with_word_counts, the counts of broadcast words filled in."""
+        x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("c", "w", "n", "deleted")}
+        for k in "cw":
+            for kind, known in zip("nd", held_counts.value[:2], strict=True):
+                there = b.column(k + kind).fill_null(0).to_numpy(zero_copy_only=False)
+                x[k + kind] = np.where(x[k] >= 0, known[np.maximum(x[k], 0)], there)
+        return x
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = numbers(b)
+            context = x["cn"] - x["cd"]
+            r = ratios(held_counts.value[3], x["c"], x["w"], x["n"] - x["deleted"], context, x["wn"] - x["wd"])
+            step = np.where(r > 0, np.rint(np.log2(np.where(r > 0, r, 1)) * FINE), UNSEEN).astype(np.int64)
+            bucket = buckets(context)
+            order, at = runs(bucket, step)
+            seen = np.add.reduceat(x["deleted"][order], at) if len(at) else x["deleted"]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in (bucket[order][at], step[order][at], seen)], names=["bucket", "step", "seen"])
+
+    # buckets and steps of a ratio, a fixed number whatever the corpus
+    got = with_word_counts(pairs.filter("deleted > 0"), left.drop("word")).select("c", "w", "n", "deleted", "cn", "cd", "wn", "wd").mapInArrow(cells, "bucket long, step long, seen long").groupBy("bucket", "step").agg(F.sum("seen").alias("seen")).toArrow()
+    bucket, step, seen_n = (got.column(k).to_numpy().astype(np.int64) for k in ("bucket", "step", "seen"))
+    # pairs of two classes, whose words are their classes
+    u, v = pair // size, pair % size
+    both = (u != RARE) & (v != RARE)
+    pu, pv, pn, pd = u[both], v[both], n[both], deleted[both]
+    before = np.bincount(u, n - deleted, size)[pu]
+    known_ratio = (pn - pd) / np.maximum(before, 1) / 10.0 ** rest[0][pu, pv].astype(float)
+    ratio = np.where(step > UNSEEN, 2.0 ** (np.maximum(step, -1000 * FINE) / FINE), 0.0)
+    lam = word_weights(np.concatenate([bucket, buckets(before)]), np.concatenate([ratio, known_ratio]), np.concatenate([seen_n, pd]).astype(float))
+    stay = np.log10(1 - lam)
+    # the table of classes takes the word bigrams of its own words in; the row of rare contexts is left to each word
+    context = np.bincount(u, n, size).astype(np.int64)
+    word_logs = logs.astype(float) + np.where(np.arange(size) == RARE, 0, stay[buckets(context)])[:, None]
+    b = buckets(context[pu])
+    word_logs[pu, pv] += np.log10(1 + lam[b] / (1 - lam[b]) * pn / np.maximum(context[pu], 1) / 10.0 ** logs[pu, pv].astype(float))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = numbers(b)
+            k = lam[buckets(x["cn"])]
+            r = ratios(held_counts.value[2], x["c"], x["w"], x["n"], x["cn"], x["wn"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["c"]), pa.array(x["w"]), pa.array(np.log10(1 + k / (1 - k) * r))], names=["c", "w", "gain"])
+
+    gain = with_word_counts(pairs, left.drop("word")).select("c", "w", "n", "deleted", "cn", "cd", "wn", "wd").mapInArrow(gains, "c long, w long, gain double")
     base = np.log10((word_n + 1) / whole)
     end_base = float(np.log10((ends + 1) / whole))
-    held = sc.broadcast((words, base, logs.reshape(-1)))
+    away = np.append(np.where(np.arange(end) < len(own), 0, stay[buckets(word_n)]), 0.0)  # of contexts without a class
+    held = sc.broadcast((words, base, word_logs.astype(np.float32).reshape(-1), away))
     names = ["doc_id", "held_out", "of", "n_tokens", "known", "base", "model", "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, logs = held.value
+        words, base, logs, away = held.value
         get = {w: i for i, w in enumerate(words)}.get
         classes = np.zeros(len(words) + 1, np.int64)  # the last for words that are not broadcast
         classes[: size - 2] = np.arange(2, size)
@@ -168,7 +339,7 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, broadcast_words: int = BR
                 path = np.concatenate([[END], classes[ids], [END]])
                 here = base[ids]
                 common = (path[1:-1] == RARE) & (ids != missing)
-                model = float(logs[path[:-1] * size + path[1:]].sum(dtype=np.float64)) + float(here[common].sum()) - rare_log * int(common.sum())
+                model = float(logs[path[:-1] * size + path[1:]].sum(dtype=np.float64)) + float(here[common].sum()) - rare_log * int(common.sum()) + float(away[ids].sum())
                 rest = Counter(own[i] for i in np.flatnonzero(ids == missing))
                 row = (doc_id, held_out, of, len(own) + 1, len(own) - sum(rest.values()) + int(ends > 0), float(here.sum()) + end_base, model, b" %d" % of, 1)
                 for c, x in zip(out, row, strict=True):
@@ -184,17 +355,32 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, broadcast_words: int = BR
 
     rows = docs.select("doc_id", (fold == 2).alias("held_out"), F.xxhash64("doc_id", "text").alias("of"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, of long, n_tokens long, known long, base double, model double, word binary, times long")
-    left = counts.filter(F.col("n") < least).select("word", "n")  # a word of a document row has a space, so it is none of these
+
+    def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held_words.value
+        get = {w: i for i, w in enumerate(words)}.get
+        for b in batches:
+            of, c, w = word_pairs(b.column(1).to_pylist(), get, end, size - 2)
+            order, at = runs(of, c, w)
+            at_row = order[at]
+            keys = b.column(0).to_numpy(zero_copy_only=False)[of[at_row]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, c[at_row], w[at_row], np.diff(np.append(at, len(order))))], names=["of", "c", "w", "times"])
+
+    found = docs.select(F.xxhash64("doc_id", "text").alias("of"), "text").mapInArrow(pair_rows, "of long, c long, w long, times long").join(gain, ["c", "w"])
+    stays = F.element_at(F.array(*[F.lit(float(x)) for x in stay]), F.length(F.bin(F.coalesce("n", F.lit(0)) + 1)))
     seen = F.coalesce("n", F.lit(0))
     each = F.log10((seen + 1) / F.lit(float(whole)))
     is_doc = F.col("n_tokens").isNotNull()
-    joined = rows.join(left, "word", "left").select(
+    # a word of a document row has a space, so it is none of those left
+    joined = rows.join(left.select("word", "n"), "word", "left").select(
         "of", "doc_id", "held_out", "n_tokens",
         F.when(is_doc, F.col("known")).otherwise(F.when(seen > 0, F.col("times")).otherwise(0)).alias("known"),
         F.when(is_doc, F.col("base")).otherwise(F.col("times") * each).alias("base"),
-        F.when(is_doc, F.col("model")).otherwise(F.col("times") * (each - rare_log)).alias("model"),
+        F.when(is_doc, F.col("model")).otherwise(F.col("times") * (each - rare_log + stays)).alias("model"),
     )
-    grouped = joined.groupBy("of").agg(
+    null = lambda t: F.lit(None).cast(t)
+    more = found.select("of", null("long").alias("doc_id"), null("boolean").alias("held_out"), null("long").alias("n_tokens"), null("long").alias("known"), null("double").alias("base"), (F.col("times") * F.col("gain")).alias("model"))
+    grouped = joined.unionByName(more).groupBy("of").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("rows"),
         F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"),
     )

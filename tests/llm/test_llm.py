@@ -369,6 +369,84 @@ def test_scores_of_odd_rows(spark, odd):
     assert {r.train_tokens for r in lm_scores.lm_scores(held).collect()} == {0}
 
 
+@pytest.mark.parametrize("kw", [{}, {"classes": 4, "broadcast_words": 8}])
+def test_scores_use_bigrams_of_rare_words(spark, kw):
+    """Of two held-out texts of the same rare words, the one in the order that training has scores higher."""
+    common = " ".join(f"w{k}" for k in range(30))
+    rare = [f"r{k}" for k in range(40)]
+    texts = {k: common if k % 2 else " ".join(rare) for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2}
+    a, b = [k for k in range(200) if k not in texts][:2]
+    filler = [(1000 + k, f"x{k} " * 3) for k in range(2500) if zlib.crc32(str(1000 + k).encode()) % 7 != 2]  # three each, more than the classes
+    more = [(5000 + k, " ".join(f"x{j} x{j}" for j in range(2500))) for k in range(40) if zlib.crc32(str(5000 + k).encode()) % 7 != 2]
+    rows = [*texts.items(), *filler, *more, (a, "r0 r1 r2 r3"), (b, "r2 r0 r3 r1")]
+    docs = spark.createDataFrame([r for r in rows if r[0] in (a, b) or r[0] >= 1000 or r[0] % 2 or r[0] < 24], "doc_id long, text string")
+    out = {r.doc_id: r for r in lm_scores.lm_scores(docs, **kw).collect()}
+    assert out[a].held_out and out[a].base_score == pytest.approx(out[b].base_score)
+    assert out[a].score > out[b].score + 2
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """Word bigrams of any frequency, whether their words are classes, broadcast or joined; the brute force's probabilities sum to one."""
+    monkeypatch.setattr(lm_scores, "FINE", 512)  # the brute force learns from exact ratios
+    docs = [(k, t) for k, t in enumerate(["a b c d e", "a b d c", "b c a e f", "g a b h", "d e a b", "i j k a b"] * 8) if zlib.crc32(str(k).encode()) % 7 != 2]
+    kinds = "a b c d e f g h i j k".split()
+    ids = [k for k in range(10_000, 11_000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    after = lambda c: [(ids.pop(), f"{c} {w}") for w in [*kinds, "zzz"]] + [(ids.pop(), c)]
+    probes = {c: after(c) for c in ("a", "h", "k")}
+    ends = {w: (ids.pop(), w) for w in [*kinds, "zzz"]}
+    table = spark.createDataFrame([*docs, *[r for p in probes.values() for r in p], *ends.values()], "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in lm_scores.lm_scores(table, classes=3, broadcast_words=6).collect()}
+    brute = _brute_lm(docs, 3)
+    for r in [r for p in probes.values() for r in p] + list(ends.values()):
+        assert rows[r[0]] == pytest.approx(brute(r[1]), abs=1e-3)
+
+
+def _brute_lm(docs, n_classes):
+    """The model of operator 8 over dicts: (text -> log10 P), its weights learned as in lm_scores but from exact ratios."""
+    import numpy as np
+
+    split = [([*words(t), b""], zlib.crc32(str(k).encode()) % 7 == 0) for k, t in docs]
+    count, gone, pairs, pairs_gone = Counter(), Counter(), Counter(), Counter()
+    for own, d in split:
+        two = list(zip([b"", *own], own))
+        count.update(own)
+        pairs.update(two)
+        if d:
+            gone.update(own)
+            pairs_gone.update(two)
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], w))[:n_classes]
+    cls = {w: i + 2 for i, w in enumerate(top)} | {b"": lm_scores.END}
+    size = n_classes + 2
+    cp, cg = Counter(), Counter()
+    for (c, w), k in pairs.items():
+        cp[cls.get(c, 0) * size + cls.get(w, 0)] += k
+        cg[cls.get(c, 0) * size + cls.get(w, 0)] += pairs_gone[c, w]
+    key = np.array(sorted(cp))
+    n, d = (np.array([x[k] for k in sorted(cp)]) for x in (cp, cg))
+    mixed = lm_scores.mixture(key, n, d, size)
+
+    def model(n, count):
+        logs, whole = lm_scores.transition_logs(key, n, mixed, size).astype(float), sum(count.values()) + len(kinds) + 1
+        rare = max(1 - sum(count[w] + 1 for w in cls) / whole, 1 / whole)
+        return lambda c, w: 10 ** logs[cls.get(c, 0), cls.get(w, 0)] * (1 if w in cls else (count[w] + 1) / whole / rare)
+
+    kinds = list(count)
+    left = Counter({w: count[w] - gone[w] for w in count})
+    full, rest = model(n, count), model(n - d, left)
+    seen = [(c, w) for c, w in pairs_gone]
+    b = lm_scores.buckets(np.array([left[c] for c, _ in seen]))
+    r = np.array([(pairs[p] - pairs_gone[p]) / max(1, left[p[0]]) / rest(*p) for p in seen])
+    lam = lm_scores.word_weights(b, r, np.array([float(pairs_gone[p]) for p in seen]))
+
+    def p(c, w):
+        k = lam[lm_scores.buckets(np.array([count[c]]))[0]]
+        return (1 - k) * full(c, w) + (k * pairs[c, w] / count[c] if count[c] else 0)
+
+    for c in [*kinds, b"zzz"]:
+        assert sum(p(c, w) for w in [*kinds, b"zzz"]) == pytest.approx(1, abs=1e-4)
+    return lambda text: sum(math.log10(p(c, w)) for c, w in zip([b"", *words(text)], [*words(text), b""]))
+
+
 # operator 9
 
 
