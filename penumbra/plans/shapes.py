@@ -96,7 +96,7 @@ def f11(t: Tables) -> DataFrame:
 @query("r13_region_growing")
 def r13(t: Tables) -> DataFrame:
     """Regions from every 97th pixel over a colour made of the raster's own values."""
-    px = t.pixels().filter("row < 40").select("row", "col", (F.col("lit_pct") / 3.0).alias("l"), F.col("class").cast("double").alias("a"), F.col("dem").cast("double").alias("b"), F.when(F.col("id") % 97 == 0, F.col("id")).alias("label"))
+    px = t.pixels().select("row", "col", (F.col("lit_pct") / 3.0).alias("l"), F.col("class").cast("double").alias("a"), F.col("dem").cast("double").alias("b"), F.when(F.col("id") % 97 == 0, F.col("id")).alias("label"))
     return T.grow_regions(px, 14, 10)
 
 
@@ -108,7 +108,7 @@ def r14(t: Tables) -> DataFrame:
 
 @query("r19_sky_view")
 def r19(t: Tables) -> DataFrame:
-    px = t.pixels().filter("row < 32").select("row", "col", F.col("dem").cast("double").alias("z"))
+    px = t.pixels().select("row", "col", F.col("dem").cast("double").alias("z"))
     s = T.tile_sky_view(px, 32, 8)
     return s.select("row", "col", *[rnd(c).alias(c) for c in s.columns[2:]])
 

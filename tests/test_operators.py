@@ -327,3 +327,39 @@ def test_adaptive_coolest_keeps_to_the_cap(spark):
     out = P.coolest_within(pairs, e, tau=1.2, slack=0.0).collect()
     assert [(r.pair, r.len, r.short_len) for r in out] == [(1, 22.0, 20.0)] and 0 <= out[0].lam < 1
     assert P.coolest_within(pairs, e, tau=9.0).first().len == 80.0
+
+
+def _orders(spark, path, n):
+    """A folder whose orders have the keys 1 to n, some missing."""
+    rows = [(k, k * 7 % 50) for k in range(1, n + 1) if k % 11]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    return [k for k, _ in rows]
+
+
+def test_sky_view_and_region_growing_cover_the_whole_raster(spark, tmp_path):
+    import numpy as np
+
+    from penumbra.operators import tiles
+    from penumbra.plans.registry import queries
+
+    keys = _orders(spark, tmp_path, 4600)  # rows 0 to 46
+    dem = np.full((47 + 16, 100 + 16), -np.inf)
+    for k in keys:
+        dem[8 + k // 100, 8 + k % 100] = k * 17 % 23 - 2
+    want = tiles.sky_view(dem, 1, 8)["all"]
+    got = {(r.row, r.col): r.svf for r in queries()["r19_sky_view"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(k // 100, k % 100) for k in keys}
+    assert all(abs(v - want[8 + r, 8 + c]) < 1e-4 for (r, c), v in got.items())
+
+    colour = {(k // 100, k % 100): np.array([k * 29 % 101 / 3, k * 31 % 13, k * 17 % 23 - 2]) for k in keys}
+    grown = {(k // 100, k % 100): k for k in keys if k % 97 == 0}
+    seeds, fresh = {k: colour[p] for p, k in grown.items()}, dict(grown)
+    for _ in range(10):
+        new: dict = {}
+        for (r, c), k in fresh.items():
+            for p in ((r, c + 1), (r + 1, c), (r, c - 1), (r - 1, c)):
+                if p in colour and p not in grown and ((colour[p] - seeds[k]) ** 2).sum() < 196:
+                    new[p] = min(k, new.get(p, k))
+        grown, fresh = grown | new, new
+    assert {(r.row, r.col): r.label for r in queries()["r13_region_growing"](spark, str(tmp_path)).collect()} == grown
+    assert max(r for r, _ in grown) > 40
