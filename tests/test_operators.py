@@ -363,3 +363,12 @@ def test_sky_view_and_region_growing_cover_the_whole_raster(spark, tmp_path):
         grown, fresh = grown | new, new
     assert {(r.row, r.col): r.label for r in queries()["r13_region_growing"](spark, str(tmp_path)).collect()} == grown
     assert max(r for r, _ in grown) > 40
+
+
+def test_adaptive_coolest_takes_every_supplier(spark, tmp_path):
+    from penumbra.plans.registry import queries
+
+    spark.range(1, 401).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(30, 60).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.pair: r for r in queries()["n13_adaptive_coolest"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(30, 60)) and all(r.len <= 1.2 * r.short_len + 1.01 for r in got.values())
