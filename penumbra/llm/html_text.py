@@ -2,8 +2,9 @@
 
 A small tolerant parser turns each page into elements. Their subtrees are hashed (tag and text) and counted per host in
 Spark; subtrees that recur on many pages of their host are deleted. Elements whose tag, role or class says that
-they are no part of an article (menus, adverts, forms, ...) go as well. Prose blocks inside an article are never taken
-for a template, as sites do repeat passages and whole articles.
+they are no part of an article (menus, adverts, forms, ...) go as well; they are hashed and counted all the same.
+Sites do repeat whole articles and passages: inside an article, a subtree counts once for each different article, and one of
+more than PASSAGE words is no template.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ from .common import bounded, cut, table
 
 #: A subtree is a template on at least so many pages and at least that share of its host's pages.
 LEAST_PAGES, LEAST_SHARE = 10, 0.3
+#: On so many pages a subtree outside articles is a template whatever their share. Inside, the share decides: plain sentences recur in up to 36
+#: different articles of the 320 pages of a host of sf0.1, and in more where there are more pages.
+MANY_PAGES = 100
+#: Words of prose inside an article up to which it can be a template.
+PASSAGE = 30
 #: Rows of template hits up to which they are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 TOKEN = re.compile(
@@ -74,19 +80,27 @@ class _Element:
         self.tag, self.gone, self.inside, self.start, self.heading_only = tag, gone, inside, start, heading_only
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int]]]:
-    """Blocks (text, inside an article) in page order, and element subtrees (hash, first block, block after the last)."""
+def digest(text: str) -> int:
     from xxhash import xxh64_intdigest
 
-    blocks: list[tuple[str, bool]] = []
-    subtrees: list[tuple[int, int, int]] = []
-    pieces: list[str] = []
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def parse(html: str | None) -> tuple[list[tuple[str, bool, str]], list[tuple[int, int, int, bool]]]:
+    """Blocks (text, inside an article, text with what the names drop) in page order, and element subtrees (hash, first block, block after the last, inside).
+
+    A block of which the names leave nothing has an empty text.
+    """
+    blocks: list[tuple[str, bool, str]] = []
+    subtrees: list[tuple[int, int, int, bool]] = []
+    pieces: list[tuple[str, bool]] = []
     stack: list[_Element] = [_Element("", False, False, 0, False)]
 
     def flush() -> None:
         if pieces:
-            if text := " ".join(unescape("".join(pieces)).split()):
-                blocks.append((text, stack[-1].inside))
+            whole, left = (" ".join(unescape("".join(t for t, gone in pieces if some or not gone)).split()) for some in (True, False))
+            if whole:
+                blocks.append((left, stack[-1].inside, whole))
             pieces.clear()
 
     def close() -> None:
@@ -94,14 +108,15 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int
         if flush_needed:
             flush()
         e = stack.pop()
-        if flush_needed and not e.gone and len(blocks) > e.start and e.tag not in ("html", "body", "article", "main") and not (e.inside and e.tag in PROSE):
-            content = "\n".join(t for t, _ in blocks[e.start :])
-            subtrees.append((xxh64_intdigest(f"{e.tag}\n{content}".encode("utf-8", "surrogatepass")) - (1 << 63), e.start, len(blocks)))
+        if flush_needed and len(blocks) > e.start and e.tag not in ("html", "body", "article", "main"):
+            content = "\n".join(t for _, _, t in blocks[e.start :])
+            if not e.inside or len(content.split()) <= PASSAGE:
+                subtrees.append((digest(f"{e.tag} {e.inside}\n{content}"), e.start, len(blocks), e.inside))
 
     def take(text: str) -> None:
         top = stack[-1]
-        if text and not top.gone and not (top.heading_only and not any(e.tag[:1] == "h" and e.tag[1:].isdigit() for e in stack)):
-            pieces.append(text)
+        if text:
+            pieces.append((text, top.gone or top.heading_only and not any(e.tag[:1] == "h" and e.tag[1:].isdigit() for e in stack)))
 
     at, html = 0, html or ""
     for m in TOKEN.finditer(html):
@@ -149,11 +164,18 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int
 
 def main_text(html: str | None, templates: set[int] = frozenset()) -> str:
     blocks, subtrees = parse(html)
-    gone = {i for h, a, b in subtrees if h in templates for i in range(a, b)}
-    left = [x for i, x in enumerate(blocks) if i not in gone]
-    if any(inside for _, inside in left):
+    gone = {i for h, a, b, _ in subtrees if h in templates for i in range(a, b)}
+    left = [x for i, x in enumerate(blocks) if i not in gone and x[0]]
+    if any(inside for _, inside, _ in left):
         left = [x for x in left if x[1]]
-    return "\n\n".join(t for t, _ in left)
+    return "\n\n".join(t for t, _, _ in left)
+
+
+def page_subtrees(html: str | None) -> dict[int, tuple[int, bool]]:
+    """Of each subtree of a page what it is counted by: 0, or the hash of the page's article for one inside that; and whether it is inside."""
+    blocks, subtrees = parse(html)
+    article = digest("\n".join(t for t, inside, _ in blocks if inside and t)) if any(s[3] for s in subtrees) else 0
+    return {h: (article if inside else 0, inside) for h, _, _, inside in subtrees}
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -170,13 +192,16 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
         for b in batches:
             out: list[tuple] = []
             for host, of, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(host, of, h) for h in {0, *(h for h, _, _ in parse(html)[1])}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "of", "subtree"])
-
-    found = rows.select("host", "of", "html").mapInArrow(hashes, "host string, of long, subtree long")
-    counted = found.groupBy("host", "subtree").agg(F.count("*").alias("n"))  # the subtree 0 counts pages
+                out.append((host, of, 0, 0, False))
+                out += [(host, of, h, article, inside) for h, (article, inside) in page_subtrees(html).items()]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["host", "of", "subtree", "article", "inside"])
+
+    found = rows.select("host", "of", "html").mapInArrow(hashes, "host string, of long, subtree long, article long, inside boolean")
+    each = found.groupBy("host", "subtree", "article", "inside").agg(F.count("*").alias("n"))
+    counted = each.groupBy("host", "subtree", "inside").agg(F.sum(F.when(F.col("inside"), 1).otherwise(F.col("n"))).alias("n"))  # the subtree 0 counts pages
     total = counted.filter("subtree = 0").select("host", F.col("n").alias("pages"))
-    templates = cut(counted.filter(f"subtree <> 0 and n >= {least_pages}").join(total, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "subtree"))
+    templates = cut(counted.filter(f"subtree <> 0 and n >= {least_pages}").join(total, "host").filter((F.col("n") >= least_share * F.col("pages")) | ~F.col("inside") & (F.col("n") >= MANY_PAGES)).select("host", "subtree"))
     n = templates.count()
     small = n <= BROADCAST_ROWS
     names = ["page_id", "url", "text", "n_chars"]

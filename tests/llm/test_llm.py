@@ -312,6 +312,18 @@ def test_templates_of_a_host_go(spark):
     assert html_text.extract(df.union(df)).count() == 2 * len(rows)
 
 
+def test_unnamed_templates_inside_articles_go(spark):
+    """Short boilerplate in different articles goes, and on large hosts that outside; articles that are copied, and passages, stay."""
+    passage = "words of a passage that the site quotes again and again " * 4
+    page = lambda own: f"<body><article><h1>T {own}</h1><p>Own text {own}.</p><p>{passage}</p><p>Follow us today</p><ul><li>one<li>two</ul></article></body>"
+    rows = [(k, "http://h/x", page(k)) for k in range(12)] + [(100 + k, "http://copies/x", page(0)) for k in range(12)]
+    rows += [(1000 + k, "http://large/x", f"<body>{'<div>Get our app</div>' if k < 110 else ''}<p>Text {k}.</p></body>") for k in range(500)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == f"T 3\n\nOwn text 3.\n\n{passage.strip()}" and out[1003] == "Text 3."
+    assert out[103].endswith("Follow us today\n\none\n\ntwo") and out[103].startswith("T 0\n\nOwn text 0.")
+    assert out[1400] == "Text 400."
+
+
 def test_articles_on_real_pages(spark, sf_dir):
     import re
     from html import unescape
