@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for rows that cut a lineage: the session's, or that of spark.checkpoint.dir; a temporary one only where the master is local."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and reads them from there; sets a folder only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut_lineage, but as a Parquet table in that folder: smaller where there are many rows, and columns can be read alone."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _star(e: DataFrame, large: bool) -> DataFrame:
     """e: (a, b) with a < b. large: connects each node's larger neighbours to its least one; else the smaller ones."""
     down = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
