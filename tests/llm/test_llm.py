@@ -357,18 +357,29 @@ def test_base_scores_equal_brute_force(docs, kw):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_mixture_is_a_distribution_and_prefers_what_predicts():
+def test_weights_prefer_what_predicts():
     import numpy as np
 
-    g = np.random.default_rng(6)
-    size = 12
-    n = g.integers(0, 50, size * size)
-    pair = np.flatnonzero(n)
-    deleted = n[pair] // 4
-    w = lm_scores.mixture(pair, n[pair], deleted, size)
-    assert np.allclose(w.sum(1), 1) and (w > 0).all()
-    p = 10.0 ** lm_scores.transition_logs(pair, n[pair], w, size).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    bucket = np.array([3, 3, 5, 5, 0])
+    ratio = np.array([50.0, 40.0, 0.0, 0.01, 9.0])
+    lam = lm_scores.word_weights(bucket, ratio, np.full(5, 1000.0))
+    assert lam[3] > 0.9 and lam[5] < 0.05 and lam[0] == 0 and ((lam >= 0) & (lam < 1)).all()
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    x, y, z = np.sort(g.integers(0, 1 << 63, 1000).astype(np.uint64)), g.integers(-(1 << 62), 1 << 62, 7), g.random(50).astype(np.float32)
+    back = lm_scores.unpack(lm_scores.pack(lm_scores.steps(x), y, z), (1000, np.uint64), (7, np.int64), (50, np.float32))
+    assert (np.cumsum(back[0]) == x).all() and (back[1] == y).all() and (back[2] == z).all()
+    assert len(lm_scores.unpack(lm_scores.pack(x[:0]), (0, np.uint64))[0]) == 0
+
+
+def test_keys_of_words_agree(spark):
+    words_ = [b"a", "\u00e9t\u00e9".encode(), b"x" * 100]
+    got = spark.createDataFrame([(bytearray(w),) for w in words_], "word binary").select(F.expr(lm_scores.KEY)).collect()
+    assert [r[0] for r in got] == [lm_scores.Codes()[w] for w in words_]
 
 
 def test_scores_of_odd_rows(spark, odd):
@@ -408,12 +419,12 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     ends = {w: (ids.pop(), w) for w in [*kinds, "zzz"]}
     table = spark.createDataFrame([*docs, *[r for p in probes.values() for r in p], *ends.values()], "doc_id long, text string")
     rows = {r.doc_id: r.score for r in lm_scores.lm_scores(table, classes=3, broadcast_words=6).collect()}
-    brute = _brute_lm(docs, 3)
+    brute = _brute_lm(docs)
     for r in [r for p in probes.values() for r in p] + list(ends.values()):
         assert rows[r[0]] == pytest.approx(brute(r[1]), abs=1e-3)
 
 
-def _brute_lm(docs, n_classes):
+def _brute_lm(docs):
     """The model of operator 8 over dicts: (text -> log10 P), its weights learned as in lm_scores but from exact ratios."""
     import numpy as np
 
@@ -426,39 +437,38 @@ def _brute_lm(docs, n_classes):
         if d:
             gone.update(own)
             pairs_gone.update(two)
-    top = sorted((w for w in count if w), key=lambda w: (-count[w], w))[:n_classes]
-    cls = {w: i + 2 for i, w in enumerate(top)} | {b"": lm_scores.END}
-    size = n_classes + 2
-    cp, cg = Counter(), Counter()
-    for (c, w), k in pairs.items():
-        cp[cls.get(c, 0) * size + cls.get(w, 0)] += k
-        cg[cls.get(c, 0) * size + cls.get(w, 0)] += pairs_gone[c, w]
-    key = np.array(sorted(cp))
-    n, d = (np.array([x[k] for k in sorted(cp)]) for x in (cp, cg))
-    mixed = lm_scores.mixture(key, n, d, size)
-
-    def model(n, count):
-        logs, whole = lm_scores.transition_logs(key, n, mixed, size).astype(float), sum(count.values()) + len(kinds) + 1
-        rare = max(1 - sum(count[w] + 1 for w in cls) / whole, 1 / whole)
-        return lambda c, w: 10 ** logs[cls.get(c, 0), cls.get(w, 0)] * (1 if w in cls else (count[w] + 1) / whole / rare)
-
-    kinds = list(count)
     left = Counter({w: count[w] - gone[w] for w in count})
-    full, rest = model(n, count), model(n - d, left)
-    seen = [(c, w) for c, w in pairs_gone]
+    total, rest, kinds = sum(count.values()), sum(left.values()), len(count)
+    ratio = np.array([left[w] / rest * (kinds + 1) for w in gone])
+    mix = lm_scores.word_weights(np.ones(len(gone), int), ratio, np.array([float(gone[w]) for w in gone]))[1]
+    single = lambda n, of: mix * n / of + (1 - mix) / (kinds + 1)
+    seen = list(pairs_gone)
     b = lm_scores.buckets(np.array([left[c] for c, _ in seen]))
-    r = np.array([(pairs[p] - pairs_gone[p]) / max(1, left[p[0]]) / rest(*p) for p in seen])
+    r = np.array([(pairs[c, w] - pairs_gone[c, w]) / max(1, left[c]) / single(left[w], rest) for c, w in seen])
     lam = lm_scores.word_weights(b, r, np.array([float(pairs_gone[p]) for p in seen]))
 
     def p(c, w):
         k = lam[lm_scores.buckets(np.array([count[c]]))[0]]
-        return (1 - k) * full(c, w) + (k * pairs[c, w] / count[c] if count[c] else 0)
+        return (1 - k) * single(count[w], total) + (k * pairs[c, w] / count[c] if count[c] else 0)
 
-    for c in [*kinds, b"zzz"]:
-        assert sum(p(c, w) for w in [*kinds, b"zzz"]) == pytest.approx(1, abs=1e-4)
+    for c in [*list(count)[:20], b"zzz"]:
+        assert sum(p(c, w) for w in [*count, b"zzz"]) == pytest.approx(1, abs=1e-9)
     return lambda text: sum(math.log10(p(c, w)) for c, w in zip([b"", *words(text)], [*words(text), b""]))
 
 
+@pytest.mark.parametrize("kw", [{}, {"classes": 20, "broadcast_words": 300}])
+def test_scores_of_the_table_equal_brute_force(docs, monkeypatch, kw):
+    """Every document of the test table, in many small chunks and buckets."""
+    monkeypatch.setattr(lm_scores, "FINE", 1 << 14)  # the brute force learns from exact ratios
+    monkeypatch.setattr(lm_scores, "CHUNK_TOKENS", 5000)
+    rows = docs.select("doc_id", "text").collect()
+    brute = _brute_lm([(r.doc_id, r.text) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2])
+    got = {r.doc_id: r.score for r in lm_scores.lm_scores(docs, **kw).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id] == pytest.approx(brute(r.text), rel=1e-5)
+
+
 # operator 9
 
 
