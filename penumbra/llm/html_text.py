@@ -10,6 +10,7 @@ more than PASSAGE words is no template.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,6 +52,8 @@ NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comm
 SITE = frozenset("site page top global main".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+#: Of the hash of a run of blocks.
+BASE, PRIME = 0x9E3779B97F4A7C15, (1 << 61) - 1
 STOPS = frozenset(("ul", "ol", "dl", "table", "article", "body", "html"))
 
 
@@ -89,18 +92,24 @@ def digest(text: str) -> int:
 def parse(html: str | None) -> tuple[list[tuple[str, bool, str]], list[tuple[int, int, int, bool]]]:
     """Blocks (text, inside an article, text with what the names drop) in page order, and element subtrees (hash, first block, block after the last, inside).
 
-    A block of which the names leave nothing has an empty text.
+    A block of which the names leave nothing has an empty text. Hashes of the blocks so far make that of any run of blocks a
+    difference of two, so the time is in proportion to the page whatever its nesting.
     """
     blocks: list[tuple[str, bool, str]] = []
     subtrees: list[tuple[int, int, int, bool]] = []
     pieces: list[tuple[str, bool]] = []
     stack: list[_Element] = [_Element("", False, False, 0, False)]
+    open_tags: Counter = Counter()
+    sums, powers, n_words = [0], [1], [0]  # of the blocks before each
 
     def flush() -> None:
         if pieces:
             whole, left = (" ".join(unescape("".join(t for t, gone in pieces if some or not gone)).split()) for some in (True, False))
             if whole:
                 blocks.append((left, stack[-1].inside, whole))
+                sums.append((sums[-1] * BASE + digest(whole)) % PRIME)
+                powers.append(powers[-1] * BASE % PRIME)
+                n_words.append(n_words[-1] + len(whole.split()))
             pieces.clear()
 
     def close() -> None:
@@ -108,10 +117,11 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, str]], list[tuple[int
         if flush_needed:
             flush()
         e = stack.pop()
-        if flush_needed and len(blocks) > e.start and e.tag not in ("html", "body", "article", "main"):
-            content = "\n".join(t for _, _, t in blocks[e.start :])
-            if not e.inside or len(content.split()) <= PASSAGE:
-                subtrees.append((digest(f"{e.tag} {e.inside}\n{content}"), e.start, len(blocks), e.inside))
+        open_tags[e.tag] -= 1
+        n = len(blocks)
+        if flush_needed and n > e.start and e.tag not in ("html", "body", "article", "main") and (not e.inside or n_words[n] - n_words[e.start] <= PASSAGE):
+            content = (sums[n] - sums[e.start] * powers[n - e.start]) % PRIME
+            subtrees.append((digest(f"{e.tag} {e.inside} {n - e.start} {content}"), e.start, n, e.inside))
 
     def take(text: str) -> None:
         top = stack[-1]
@@ -128,7 +138,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, str]], list[tuple[int
         if m["end"]:
             if tag == "br":
                 take(" ")
-            if any(e.tag == tag for e in stack):
+            if open_tags[tag] > 0:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -140,10 +150,10 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, str]], list[tuple[int
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in STOPS), 0)) and stack[k].tag == "p":
+            if tag in CLOSES_P and open_tags["p"] > 0 and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in STOPS), 0)) and stack[k].tag == "p":
                 while len(stack) > k:
                     close()
-            if tag in SIBLINGS:
+            if tag in SIBLINGS and any(open_tags[t] > 0 for t in SIBLINGS[tag]):
                 stop = STOPS - {"table"} if tag in ("li", "dt", "dd") else STOPS
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in SIBLINGS[tag] or stack[k].tag in stop), 0)
                 if k and stack[k].tag in SIBLINGS[tag]:
@@ -154,6 +164,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, str]], list[tuple[int
         top = stack[-1]
         inside = top.inside or tag in MAIN or 'role="main"' in m["attrs"] or "articleBody" in m["attrs"]
         if not m["attrs"].endswith("/"):
+            open_tags[tag] += 1
             stack.append(_Element(tag, top.gone or _unwanted(tag, m["attrs"], top.inside), inside, len(blocks), top.heading_only or tag == "header"))
     take(html[at:])
     while len(stack) > 1:

@@ -324,6 +324,23 @@ def test_unnamed_templates_inside_articles_go(spark):
     assert out[1400] == "Text 400."
 
 
+def test_deep_pages_take_time_in_proportion_and_odd_rows_have_rows(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert html_text.main_text("<div>x " * n).count("x") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+    rows = [(None, None, None), (None, "u", ""), (1, "//h/a", "<p>" + "long " * 200_000), (1, "//h/a", "<p>twice</p>"), (1, "//h/a", "<p>twice</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("of", F.lit("clash"))
+    got = sorted(html_text.extract(pages).collect(), key=str)
+    assert sorted(r.n_chars for r in got) == [0, 0, 5, 5, 999_999]
+    assert all(len(r.text) == r.n_chars for r in got)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_articles_on_real_pages(spark, sf_dir):
     import re
     from html import unescape
