@@ -203,16 +203,15 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
         for b in batches:
             out: list[tuple] = []
             for host, of, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append((host, of, 0, 0, False))
                 out += [(host, of, h, article, inside) for h, (article, inside) in page_subtrees(html).items()]
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["host", "of", "subtree", "article", "inside"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["host", "of", "subtree", "article", "inside"])
 
     found = rows.select("host", "of", "html").mapInArrow(hashes, "host string, of long, subtree long, article long, inside boolean")
     each = found.groupBy("host", "subtree", "article", "inside").agg(F.count("*").alias("n"))
-    counted = each.groupBy("host", "subtree", "inside").agg(F.sum(F.when(F.col("inside"), 1).otherwise(F.col("n"))).alias("n"))  # the subtree 0 counts pages
-    total = counted.filter("subtree = 0").select("host", F.col("n").alias("pages"))
-    templates = cut(counted.filter(f"subtree <> 0 and n >= {least_pages}").join(total, "host").filter((F.col("n") >= least_share * F.col("pages")) | ~F.col("inside") & (F.col("n") >= MANY_PAGES)).select("host", "subtree"))
+    counted = each.groupBy("host", "subtree", "inside").agg(F.sum(F.when(F.col("inside"), 1).otherwise(F.col("n"))).alias("n"))
+    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    templates = cut(counted.filter(f"n >= {least_pages}").join(total, "host").filter((F.col("n") >= least_share * F.col("pages")) | ~F.col("inside") & (F.col("n") >= MANY_PAGES)).select("host", "subtree"))
     n = templates.count()
     small = n <= BROADCAST_ROWS
     names = ["page_id", "url", "text", "n_chars"]
