@@ -1,17 +1,20 @@
 """Substring dedup (operator 5): paragraph MinHash banding.
 
-A text is cut into paragraphs at line and sentence ends, so that a passage copied into the middle of another text is cut
-at the same places there. Paragraphs have shingles of five words. Those that share a band of their MinHash signature
-collide; colliding paragraphs are joined with their shingles, verified by exact Jaccard similarity and clustered by connected
-components. Of each cluster the first occurrence stays; a run of later ones is removed where it has enough words.
-
-Only buckets with two different paragraphs come back for verification, and they come back as spanning stars. A bucket of
-any size is dealt out in pairs of chunks, so that no task holds it whole.
+A text is cut into paragraphs at line and sentence ends and at commas, by what stands just before each of them, so that a
+passage copied into the middle of another text is cut at the same places there. Paragraphs are their sets of five-word
+shingles. Those that share a band of their MinHash signature collide; colliding paragraphs are joined with their
+shingles, verified by exact Jaccard similarity and clustered by connected components. A cluster stays in the document of the
+least id; a run of its paragraphs in later documents is removed where it has enough words.
+
+Each text is read once for the bands, the shingles, the clusters' documents and the places, by one plan at any size: bands and places are
+narrow rows, and shingles travel once for each paragraph that is long enough to be similar to another. A bucket of more than CHUNK
+paragraphs is thinned by a second band, and what is still larger is dealt out in pairs of chunks, so that no task holds it whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +22,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.operators.graph import connected_components as components
+from penumbra.operators.graph import stored
 
 from .common import bounded, cut, parts, table
 
 SHINGLE, SIMILARITY, RUN_WORDS = 5, 0.8, 20
-#: A sentence end, or a comma within a sentence, cuts once so many words have come since the last cut.
-LEAST_WORDS, LEAST_CLAUSE = 5, 8
+#: A comma cuts where so many words have come since the last comma, sentence end or line end.
+LEAST_CLAUSE = 5
+#: Where so many words have come without any of these, every word whose hash is a multiple of EACH cuts.
+LEAST_BARE, EACH = 24, 8
 #: Bands of one row each: a pair of similarity s is found with 1 - (1 - s) ** BANDS, 0.9984 at 0.8. Unrelated paragraphs share no shingle of five words.
 BANDS = 4
 #: Paragraphs of a bucket that a task verifies with each other, or with as many of another chunk.
 CHUNK = 512
-#: Bucket keys up to which they are broadcast (8 bytes each), and rows of other tables; more are joined by a shuffle.
-BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 100_000
+#: Rows of removals up to which they are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Paragraphs that a task remembers, so as to pass those that keep coming on once only.
+REMEMBERED = 1 << 18
 M1, M2, P5 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 SEEDS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x94D049BB133111EB], np.uint64)
 
@@ -62,7 +70,11 @@ def _to_end(sizes: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Words and paragraphs of some texts: of each paragraph the text (of), the words (start, stop) and a hash (whole)."""
+    """Words and paragraphs of some texts: of each paragraph the text (of), the words (start, stop) and a hash (whole).
+
+    whole depends on the set of shingles alone; a paragraph shorter than a shingle is one itself. The different shingles of
+    paragraph i are grams[at[i]:at[i + 1]].
+    """
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
@@ -75,6 +87,7 @@ class Chunk:
         self.of = np.zeros(0, np.int64)
         self.start = self.stop = self.size = np.zeros(0, np.int64)
         self.whole = self.grams = np.zeros(0, np.uint64)
+        self.at = np.zeros(1, np.int64)
         if not n:
             return
         sizes = last - first + 1
@@ -84,42 +97,79 @@ class Chunk:
         text = np.searchsorted(offsets, first, side="right") - 1
         line = np.cumsum(data == 10)[first]
         end, before = data[last], data[np.maximum(last - 1, 0)]
-        kind = np.zeros(n, np.int8)
-        kind[PAUSE[end]] = 1
-        kind[STOP[end] | (CLOSING[end] & (before == 46) & (sizes > 1))] = 2
-        kind[:-1][line[:-1] != line[1:]] = 2
-        kind[:-1][text[:-1] != text[1:]] = 3
-        kind[-1] = 3
-        maybe = np.flatnonzero(kind)
-        stops, held = [], 0
-        for i, k in zip((maybe + 1).tolist(), kind[maybe].tolist(), strict=True):
-            if k == 3 or i - held >= (LEAST_WORDS if k == 2 else LEAST_CLAUSE):
-                stops.append(i)
-                held = i
-        self.stop = np.array(stops)
+        stop = STOP[end] | (CLOSING[end] & (before == 46) & (sizes > 1))
+        stop[:-1] |= line[:-1] != line[1:]
+        stop[-1] = True
+        mark = stop | PAUSE[end]
+        at = np.arange(1, n + 1)
+        since = at - np.concatenate([[0], np.maximum.accumulate(np.where(mark, at, 0))[:-1]])  # words since the last mark
+        self.stop = at[stop | (mark & (since >= LEAST_CLAUSE)) | ((since > LEAST_BARE) & (words % np.uint64(EACH) == 0))]
         self.start = np.concatenate([[0], self.stop[:-1]])
         self.size = self.stop - self.start
         self.of = text[self.start]
-        self.whole = _mixed(np.add.reduceat(words * _powers(P5, int(self.size.max()))[_to_end(self.size)], self.start) + self.size.astype(np.uint64) * M1)
         grams = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
             grams = (grams + words[k : k + len(grams)]) * M1
             grams ^= grams >> np.uint64(32)
+        many = np.maximum(self.size - SHINGLE + 1, 0)
+        paragraph = np.repeat(np.arange(len(many)), many)
+        grams = grams[np.arange(len(paragraph)) + np.repeat(self.start - np.cumsum(many) + many, many)]
+        order = np.lexsort((grams, paragraph))
+        grams, paragraph = grams[order], paragraph[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (paragraph[1:] != paragraph[:-1])
+        grams, paragraph = grams[new], paragraph[new]
+        short = np.flatnonzero(self.size < SHINGLE)
+        self.whole = whole = np.zeros(len(many), np.uint64)
+        self.at = np.searchsorted(paragraph, np.arange(len(many) + 1))
         self.grams = grams
-
-    def keys(self, bands: int) -> np.ndarray:
-        """Band keys (paragraphs, bands): the least seeded hash of a shingle; a paragraph shorter than a shingle is one itself."""
-        out = np.repeat(self.whole[:, None], bands, 1)
-        long = np.flatnonzero(self.size >= SHINGLE)
-        if len(long):
-            at = np.stack([self.start[long], self.stop[long] - SHINGLE + 1], 1).reshape(-1)
-            padded = np.append(self.grams, np.uint64(0))  # as the last bound may be the end
-            for k, s in enumerate(SEEDS[:bands]):
-                out[long, k] = np.minimum.reduceat(_mixed(padded ^ s), at)[::2]
-        return (_mixed(out) ^ SEEDS[:bands][None, :]).view(np.int64)
-
-    def shingles(self, i: int) -> np.ndarray:
-        return np.unique(self.grams[self.start[i] : self.stop[i] - SHINGLE + 1]) if self.size[i] >= SHINGLE else self.whole[i : i + 1]
+        if len(grams):
+            long = np.flatnonzero(many)
+            whole[long] = _mixed(np.add.reduceat(_mixed(grams ^ P5), self.at[long]))
+        if len(short):
+            k = self.size[short]
+            inside = np.arange(int(k.sum())) + np.repeat(self.start[short] - np.cumsum(k) + k, k)
+            whole[short] = _mixed(np.add.reduceat(words[inside] * _powers(P5, SHINGLE)[_to_end(k)], np.cumsum(k) - k) + k.astype(np.uint64) * M1)
+
+    def comparable(self, similarity: float) -> np.ndarray:
+        """Paragraphs with so many different shingles that another set can be similar enough."""
+        return np.flatnonzero(np.diff(self.at) >= max(1, ceil(similarity / max(1 - similarity, 1e-9) - 1e-9)))
+
+    def keys(self, bands: int, of: np.ndarray) -> np.ndarray:
+        """Band keys (paragraphs of these numbers, bands): the least seeded hash of a shingle."""
+        return band_minima(self.grams, self.at, of, SEEDS[:bands])
+
+    def shingles(self, of: np.ndarray) -> pa.Array:
+        """The shingles of these paragraphs, as bytes."""
+        sizes = (self.at[of + 1] - self.at[of]).astype(np.int64)
+        inside = np.arange(int(sizes.sum())) + np.repeat(self.at[of] - np.cumsum(sizes) + sizes, sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(self.grams[inside].tobytes())])
+
+
+def band_minima(grams: np.ndarray, at: np.ndarray, of: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """(of, seeds): the least of the seeded hashes of grams[at[i]:at[i + 1]], none of which is empty, for each i in of."""
+    out = np.zeros((len(of), len(seeds)), np.uint64)
+    if len(of):
+        bounds = np.stack([at[of], at[of + 1]], 1).reshape(-1)
+        padded = np.append(grams, np.uint64(0))  # as the last bound may be the end
+        for k, s in enumerate(seeds):
+            out[:, k] = np.minimum.reduceat(_mixed(padded ^ s), bounds)[::2]
+    return (_mixed(out) ^ seeds[None, :]).view(np.int64)
+
+
+class Recent:
+    """A fixed number of the hashes that came last; new() tells which of some are not among them."""
+
+    def __init__(self):
+        self.held = np.zeros(REMEMBERED, np.uint64)
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        _, first = np.unique(hashes, return_index=True)
+        slot = (hashes[first] % np.uint64(REMEMBERED)).astype(np.int64)
+        fresh = self.held[slot] != hashes[first]
+        self.held[slot[fresh]] = hashes[first][fresh]
+        return first[fresh]
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, Chunk]]:
@@ -142,28 +192,97 @@ def _batches(rows: list[list], names: list[str], types: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c and isinstance(c[0], np.ndarray) else c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
 
-def band_keys(docs: DataFrame, bands: int) -> DataFrame:
-    """(key, paragraph): each band of each paragraph of docs (text)."""
+def band_keys(docs: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """(key, paragraph): each band of the paragraphs of docs (text) that can be similar to others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for b in batches:
             for _, c in chunks(b.column(0).to_pylist()):
-                yield _batches([[c.keys(bands).T.reshape(-1)], [np.tile(c.whole.view(np.int64), bands)]], ["key", "paragraph"], [pa.int64()] * 2)
+                of = c.comparable(similarity)
+                of = of[recent.new(c.whole[of])]
+                yield _batches([[c.keys(bands, of).T.reshape(-1)], [np.tile(c.whole[of].view(np.int64), bands)]], ["key", "paragraph"], [pa.int64()] * 2)
 
     return docs.select("text").mapInArrow(run, "key long, paragraph long")
 
 
+def shingle_rows(docs: DataFrame, similarity: float) -> DataFrame:
+    """(paragraph, shingles): the paragraphs of docs (text) that can be similar to others; those that recur may come more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
+        for b in batches:
+            for _, c in chunks(b.column(0).to_pylist()):
+                of = c.comparable(similarity)
+                of = of[recent.new(c.whole[of])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.whole[of].view(np.int64)), c.shingles(of)], names=["paragraph", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "paragraph long, shingles binary")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, paragraph, words): each paragraph of docs with its place in the text."""
+    """(doc_id, hash, at, paragraph, words): each paragraph of docs with its place; hash is that of the text, as ids may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for begin, c in chunks(b.column(1).to_pylist()):
+            ids, hashes = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for begin, c in chunks(b.column(2).to_pylist()):
                 at = np.arange(len(c.of)) - np.searchsorted(c.of, c.of)  # texts come in order
-                yield _batches([[ids[begin + c.of]], [at], [c.whole.view(np.int64)], [c.size]], ["doc_id", "at", "paragraph", "words"], [pa.int64()] * 4)
+                yield _batches([[ids[begin + c.of]], [hashes[begin + c.of]], [at], [c.whole.view(np.int64)], [c.size]], ["doc_id", "hash", "at", "paragraph", "words"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()])
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, at int, paragraph long, words int")
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, at long, paragraph long, words long")
+
+def ranges(docs: DataFrame) -> DataFrame:
+    """(paragraph, low, high): the least and the greatest doc_id of each paragraph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for begin, c in chunks(b.column(1).to_pylist()):
+                own = ids[begin + c.of]
+                order = np.lexsort((own, c.whole))
+                whole, own = c.whole[order], own[order]
+                at = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])) if len(whole) else np.zeros(0, np.int64)
+                yield _batches([[whole[at].view(np.int64)], [own[at]], [own[np.append(at, len(own))[1:] - 1]]], ["paragraph", "low", "high"], [pa.int64()] * 3)
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "paragraph long, low long, high long")
+    return rows.groupBy("paragraph").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams (key, paragraph) sorted by both; leaves the different rows of keys that have more than one."""
+    key, paragraph, done = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether it has been passed on
+    for b in batches:
+        k, p = (np.concatenate([held, b.column(i).to_numpy(zero_copy_only=False)]) for i, held in enumerate((key, paragraph)))
+        if not len(k):
+            continue
+        new = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+        k, p = k[new], p[new]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        sizes = np.diff(np.append(at, len(k)))
+        several = sizes > 1
+        out = np.repeat(several, sizes)
+        out[0] &= not done
+        done = bool(several[-1]) or (done and len(sizes) == 1)
+        key, paragraph = k[-1:], p[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(p[out])], names=["key", "paragraph"])
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, large, paragraph, shingles) -> (key, paragraph, shingles): a row of a large bucket goes to one for each of a second set of bands."""
+    for b in batches:
+        b = pa.Table.from_batches([b]).combine_chunks()
+        key, large = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        stay, split = np.flatnonzero(~large), np.flatnonzero(large)
+        yield pa.RecordBatch.from_arrays([pa.array(key[stay]), *(b.column(k).take(pa.array(stay)).combine_chunks() for k in (2, 3))], names=["key", "paragraph", "shingles"])
+        if len(split):
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(3).take(pa.array(split)).to_pylist()]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            low = band_minima(np.concatenate(sets), at, np.arange(len(sets)), SEEDS[BANDS : 2 * BANDS])
+            for k in range(BANDS):
+                again = _mixed(low[:, k].view(np.uint64) ^ (key[split].view(np.uint64) * M1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(again), *(b.column(c).take(pa.array(split)).combine_chunks() for c in (2, 3))], names=["key", "paragraph", "shingles"])
 
 
 def _similar(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -219,73 +338,51 @@ def verify(similarity: float):
 
 def similar_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
     """(a, b): spanning links between different paragraphs of docs that collide in a band and are at least so similar."""
-    spark = docs.sparkSession
-    keys = cut(band_keys(docs, bands).groupBy("key").agg(F.min("paragraph").alias("low"), F.max("paragraph").alias("high")).filter("low < high").select("key"))
-    n = keys.count()
-    small = n <= BROADCAST_KEYS
-    wanted = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy())) if small else None
-
-    def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["key", "paragraph", "shingles"], [pa.int64(), pa.int64(), pa.binary()]
-        for b in batches:
-            out: list[list] = [[], [], []]
-            for _, c in chunks(b.column(0).to_pylist()):
-                own, whole = c.keys(bands), c.whole.view(np.int64)
-                if wanted is None:
-                    hit = np.ones(own.shape, bool)
-                else:
-                    at = np.searchsorted(wanted.value, own)
-                    hit = wanted.value[np.minimum(at, len(wanted.value) - 1)] == own if len(wanted.value) else np.zeros(own.shape, bool)
-                for i, k in zip(*np.nonzero(hit), strict=True):
-                    out[0].append(int(own[i, k])), out[1].append(int(whole[i])), out[2].append(c.shingles(i).tobytes())
-                if len(out[0]) > 50_000:
-                    yield _batches(out, names, types)
-                    out = [[], [], []]
-            yield _batches(out, names, types)
-
-    rows = docs.select("text").mapInArrow(colliding, "key long, paragraph long, shingles binary")
-    if not small:
-        rows = rows.join(keys, "key", "left_semi")
-    members = cut(rows.groupBy("key", "paragraph").agg(F.first("shingles").alias("shingles")))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    n = parts(docs.sparkSession)
+    members = stored(band_keys(docs, similarity, bands).repartition(n, "key").sortWithinPartitions("key", "paragraph").mapInArrow(_shared, "key long, paragraph long"))
+    large = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("key", F.lit(True).alias("large"))
+    wanted = members.select("paragraph").distinct()
+    shingles = shingle_rows(docs, similarity).join(wanted, "paragraph", "left_semi").groupBy("paragraph").agg(F.first("shingles").alias("shingles"))
+    named = members.join(large, "key", "left").select("key", F.coalesce("large", F.lit(False)).alias("large"), "paragraph")
+    thin = stored(named.join(shingles, "paragraph").select("key", "large", "paragraph", "shingles").mapInArrow(_thinned, "key long, paragraph long, shingles binary"))
+    sizes = thin.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
     dealt = (
-        members.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+        thin.join(sizes, "key", "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("paragraph"), F.col("chunks")).cast("int"))
         .select("key", "paragraph", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "paragraph", "shingles")
     )
-    return dealt.repartition(parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(verify(similarity), "a long, b long")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(verify(similarity), "a long, b long")
 
 
 def duplicate_runs(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, at, words, root): paragraphs to remove: not the first of their cluster, and in a run of such of at least run_words words."""
+    """(doc_id, hash, at, words, root): paragraphs to remove: their cluster is in a document of a lesser id, and they are in a run of such of at least run_words words."""
     roots = cut(components(similar_paragraphs(bounded(docs), similarity, bands)))
-    found = occurrences(docs)
-    n = roots.count()
-    side = F.broadcast if n <= BROADCAST_ROWS else (lambda d: d)
-    placed = found.join(side(roots), found.paragraph == roots.node, "left").select("doc_id", "at", "words", F.coalesce("root", "paragraph").alias("root"))
-    # written out, so that the join below exchanges both its sides and a root of many occurrences can be split
-    first = cut(placed.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"))
-    few = F.broadcast if first.count() <= BROADCAST_ROWS else (lambda d: d)
-    later = cut(placed.join(few(first), "root").filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "words", "root"))
-    own = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "words", "root"))).alias("runs"))  # the paragraphs of one text
+    # paragraphs that are in more than one document or similar to others; what is in one alone goes here
+    spans = ranges(docs).join(roots.withColumnRenamed("node", "paragraph"), "paragraph", "left").filter("low < high or root is not null")
+    kinds = stored(spans.select("paragraph", F.coalesce("root", "paragraph").alias("root"), "low", "high"))
+    first = kinds.groupBy("root").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("root", "first")
+    marks = kinds.join(first, "root").filter("high > first").select("paragraph", "root", "first")
+    # both sides are exchanged, so a paragraph of many occurrences can be split
+    later = occurrences(docs).join(marks, "paragraph").filter("doc_id > first").select("doc_id", "hash", F.col("at").cast("long").alias("at"), F.col("words").cast("long").alias("words"), "root")
+    own = later.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set(F.struct("at", "words", "root"))).alias("runs"))  # the paragraphs of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for doc_id, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for doc_id, text_hash, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 group: list[dict] = []
                 for m in [*marks, {"at": 1 << 60}]:
                     if group and m["at"] != group[-1]["at"] + 1:
                         if sum(x["words"] for x in group) >= run_words:
                             for x in group:
-                                for c, v in zip(out, (doc_id, x["at"], x["words"], x["root"]), strict=True):
+                                for c, v in zip(out, (doc_id, text_hash, x["at"], x["words"], x["root"]), strict=True):
                                     c.append(v)
                         group = []
                     group.append(m)
-            yield _batches(out, ["doc_id", "at", "words", "root"], [pa.int64()] * 4)
+            yield _batches(out, ["doc_id", "hash", "at", "words", "root"], [pa.int64()] * 5)
 
-    return own.mapInArrow(run, "doc_id long, at long, words long, root long")
+    return own.mapInArrow(run, "doc_id long, hash long, at long, words long, root long")
 
 
 def without(text: str | None, gone: list[int] | None) -> str | None:
@@ -312,27 +409,27 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
 
 
 def substring_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, n_removed, words_removed, removed (paragraph numbers), clusters (of them), has_repeats; one row per document.
+    """doc_id, n_removed, words_removed, removed (paragraph numbers), clusters (of them), has_repeats; one row per row of docs.
 
-    docs: doc_id, text. A null or empty text has no paragraph, a text of fewer than five words is one paragraph. Rows with a null
-    doc_id are kept as they are and take no part. Rows of the same doc_id count as one document that repeats nothing in
-    the same place, and each gives a row. Other columns are ignored; an empty table gives no rows. Ties between first
-    occurrences cannot be, as a place is a doc_id and a number.
+    docs: doc_id, text. What repeats across documents goes from all but that of the least id; what a document repeats within
+    itself stays. A null or empty text has no paragraph, a text of fewer than five words is compared as a whole. Rows with a null
+    doc_id are kept as they are and take no part. Rows of the same doc_id are one document, whose texts keep what they share; each
+    text is cut by its own paragraphs, and each row gives a row. Other columns are ignored; an empty table gives no rows.
     """
-    gone = duplicate_runs(docs, similarity, bands, run_words).groupBy("doc_id").agg(
+    gone = duplicate_runs(docs, similarity, bands, run_words).groupBy("doc_id", "hash").agg(
         F.count("*").alias("n"), F.sum("words").alias("w"), F.array_sort(F.collect_set("at")).alias("removed"), F.array_sort(F.collect_set("root")).alias("clusters"))
     none = F.array().cast("array<long>")
-    return docs.select("doc_id").join(gone, "doc_id", "left").select(
+    return docs.select("doc_id", F.xxhash64("text").alias("hash")).join(gone, ["doc_id", "hash"], "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("w", F.lit(0)).alias("words_removed"),
         F.coalesce("removed", none).alias("removed"), F.coalesce("clusters", none).alias("clusters"), F.col("n").isNotNull().alias("has_repeats"),
     )
 
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the repeats taken out of text (and n_chars set anew, if there); documents of which nothing is left go."""
-    gone = cut(duplicate_runs(docs, similarity, bands, run_words).groupBy("doc_id").agg(F.collect_set("at").alias("__gone")))
+    """docs with the repeats taken out of text (and n_chars set anew, if there); rows of which nothing is left go, others stay as in substring_dedup."""
+    gone = cut(duplicate_runs(docs, similarity, bands, run_words).groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set("at").alias("__gone")))
     side = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda d: d)
-    joined = docs.join(side(gone), "doc_id", "left").select(*docs.columns, "__gone")
+    joined = docs.join(side(gone), (docs.doc_id == F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash")), "left").select(*docs.columns, "__gone")
     names = docs.columns
     at = names.index("text")
 

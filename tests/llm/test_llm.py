@@ -228,11 +228,52 @@ def test_near_paragraphs_collide_and_verify(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(substrings, "CHUNK", 1)
     assert substrings.similar_paragraphs(df).distinct().count() == 20
-    monkeypatch.setattr(substrings, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(substrings, "CHUNK", 1 << 20)
     assert substrings.similar_paragraphs(df).distinct().count() == 20
     assert sorted(r.doc_id for r in substrings.substring_dedup(df).collect() if r.has_repeats) == [2 * k + 1 for k in range(20)]
 
 
+def test_passages_are_cut_alike_in_any_host_and_are_caught_whole(spark):
+    """Verbatim passages of 55 words, with and without marks, in hosts that share nothing else: at least 20 words of each later copy go, and nothing else does."""
+    g = random.Random(7)
+    word = lambda: "".join(g.choices("abcdefghijklmnop", k=7))
+
+    def prose(n, marks):
+        return " ".join(word() + (g.choice(marks) if g.random() < 0.2 else "") for _ in range(n))
+
+    rows, planted = [], set()
+    for k in range(60):
+        marks = [".", ","] if k % 3 else [""]
+        passage = prose(55, marks)
+        for copy in range(2):
+            rows.append((10 * k + copy, f"{prose(g.randrange(30, 90), marks)} {passage} {prose(g.randrange(30, 90), marks)}"))
+        planted.add(10 * k + 1)
+        rows.append((10 * k + 2, prose(150, marks)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.words_removed for r in substrings.substring_dedup(df).collect()}
+    caught = {k for k, n in got.items() if n}
+    assert caught <= planted and len(caught) >= 0.95 * len(planted)
+    assert all(got[k] <= 75 for k in caught)
+
+
+def test_rows_of_one_id_are_cut_by_their_own_paragraphs(spark):
+    g = random.Random(9)
+    text = lambda n: " ".join("".join(g.choices("abcdefghijklmnop", k=7)) for _ in range(n)) + "."
+    a, b, c = text(30), text(30), text(30)
+    df = spark.createDataFrame([(1, b), (2, b + "\n" + a), (2, c), (3, a), (3, a), (None, b)], "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in substrings.remove_repeats(df).collect())
+    assert left == sorted([(0, b), (1, b), (2, a), (2, c)])
+    got = sorted((r.doc_id or 0, r.has_repeats) for r in substrings.substring_dedup(df).collect())
+    assert got == [(0, False), (1, False), (2, False), (2, True), (3, True), (3, True)]
+
+
+def test_sets_of_shingles_name_paragraphs_and_short_ones_have_no_bands():
+    a, b, c = (substrings.Chunk([t]) for t in (b"a a a a a a", b"a a a a a a a", b"a a a a a b"))
+    assert a.whole[0] == b.whole[0] != c.whole[0]
+    assert len(substrings.Chunk([b"a b c d e f g h."]).comparable(0.8)) == 1 and len(substrings.Chunk([b"a b c d e f g."]).comparable(0.8)) == 0
+    assert substrings.cuts("") == [] and substrings.cuts("x, y z. w") == [3, 4]
+
+
 def test_jaccard_is_exact():
     import numpy as np
 
