@@ -129,14 +129,14 @@ def bucket_links(radius: int):
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp as a signed long."""
+    """(doc_id, hash, fp) for each row of docs; hash is that of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
@@ -159,6 +159,14 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     return dealt.repartition(parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_links(radius), "a long, b long")
 
 
+def classes(fp: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, low, root) of each different fingerprint of fp (doc_id, hash, fp): its least doc_id and its component."""
+    distinct = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    joined = cut(links(distinct.select("fp"), distinct.count(), radius))
+    roots = components(joined)
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text).
 
@@ -168,28 +176,29 @@ def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, seed: int =
     empty table gives no rows.
     """
     fp = cut(fingerprints(docs, words, seed))
-    distinct = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = cut(links(distinct.select("fp"), distinct.count(), radius))
-    roots = components(joined)
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = classes.join(least, "root").select("fp", "component_id")
+    found = classes(fp, radius)
+    least = found.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = found.join(least, "root").select("fp", "component_id")
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of docs of which one per near-duplicate group stays: the one whose doc_id is the component's least.
+    """One row of docs (doc_id, text) for each near-duplicate group: that of the least doc_id, a null one last, then of the least hash of the text.
 
-    Of rows with the same doc_id one stays; rows without an id stay only where their whole component has none.
+    Rows are told apart by id and text: those of one id in different groups each stay for theirs, and of rows equal in both one
+    stays. Null and empty texts are one group. Other columns are kept; an empty table gives no rows.
     """
-    groups = simhash_groups(docs, radius)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    nameless = groups.filter("component_id is null").select("fingerprint").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    if nameless.isEmpty():
+    fp = cut(fingerprints(docs))
+    of = classes(fp, radius).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")
+    # the least of each fingerprint first, as fingerprints may be many in a group and rows many in a fingerprint
+    kept = fp.groupBy("fp").agg(F.min(place).alias("place")).join(of, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    kept = kept.select(F.col("place.doc_id").alias("__id"), F.col("place.hash").alias("__hash"))
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash")), "left_semi")
+    if fp.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
         return rows
-    return rows.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,16 @@ def test_bit_sliced_comparison_is_exact():
         assert (got[i] == near).all()
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    g = random.Random(11)
+    a, b, c, d = (" ".join("".join(g.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(4))
+    rows = [(3, b), (7, a), (7, b), (7, a), (9, a), (None, c), (None, c), (None, b), (None, d), (2, d), (4, None), (5, ""), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash")).withColumn("fp", F.lit("clash"))
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert got == Counter([(3, b), (7, a), (None, c), (2, d), (4, None)])
+    assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.keep_one(df).columns == df.columns
+
+
 def test_groups_equal_brute_force(spark, docs, odd):
     for df in (docs, odd):
         out = simhash.simhash_groups(df).collect()

@@ -86,3 +86,24 @@ def test_mix_takes_its_targets(stages):
 def test_run_gives_the_last_stage(spark, sf_dir, stages):
     want = Counter(zlib.crc32(repr((r.doc_id, r.taken)).encode()) for r in stages["mixing"][1])
     assert Counter(zlib.crc32(repr((r.doc_id, r.taken)).encode()) for r in pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, sf_dir, stages):
+    long = "word " * 30_000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no name, but some words here", None, None, 1), (None, "no name, but some words here", "en", "b", 1), (4, "same row", "fr", "a", 8), (4, "same row", "fr", "a", 8), (4, "other text of the same id", "fr", None, 8), (5, long, "de", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = Counter((r[0], r[1]) for r in rows)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == stages[name][2]
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert not got - texts, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        if name == "simhash_near_dedup":
+            assert got == Counter({k: 1 for k in texts if k != (2, "")})
+        elif name == "language_id":
+            assert all(t and langid.LETTER.search(t) for _, t in got)
+        elif name in ("substring_dedup", "decontamination"):
+            assert got == texts
+        else:
+            assert all(r.taken > 0 for r in out.collect())
