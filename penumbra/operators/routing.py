@@ -193,11 +193,24 @@ def diversified(edges: DataFrame, source: DataFrame, target: int, rounds: int =
     return found
 
 
-def resistance(metrics: DataFrame) -> DataFrame:
-    """metrics (crowd, shade, detour, sun_run) and w1: crowd over its maximum, lack of shade, detour above 1, longest sunny run, weighted."""
-    top = metrics.agg(F.greatest(F.lit(1.0), F.max("crowd")).alias("__top"))
-    detour = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("detour") - 1))
-    return metrics.crossJoin(F.broadcast(top)).withColumn("w1", 0.2 * F.col("crowd") / F.col("__top") + 0.3 * (1 - F.col("shade")) + 0.3 * detour + 0.2 * F.col("sun_run")).drop("__top")
+def resistance(metrics: DataFrame, cap: float = 1.5, of: tuple[str, ...] = ()) -> DataFrame:
+    """metrics (crowd, shade, detour, sun_run) and w1: crowd over the greatest of its candidate set, lack of shade, detour, longest sunny run, weighted.
+
+    of: columns that name a candidate set, none if the table is one. The detour is its excess over the shortest path as a share of what the cap allows.
+    """
+    top = metrics.groupBy(*of).agg(F.greatest(F.lit(1.0), F.max("crowd")).alias("__top"))
+    with_top = metrics.join(top, list(of)) if of else metrics.crossJoin(F.broadcast(top))  # one row
+    detour = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("detour") - 1) / max(cap - 1, 0.05)))
+    return with_top.withColumn("w1", 0.2 * F.col("crowd") / F.col("__top") + 0.3 * (1 - F.col("shade")) + 0.3 * detour + 0.2 * F.col("sun_run")).drop("__top")
+
+
+def street_resistance(edges: DataFrame, of: tuple[str, ...] = ()) -> DataFrame:
+    """(street, length, shade, crowd, w2) of edges (street, length, shade as a share, crowd): mean crowd of a street over the greatest of its set, and lack of shade by length, weighted."""
+    streets = edges.groupBy(*of, "street").agg(F.sum("length").alias("length"), F.sum(F.col("length") * F.col("shade")).alias("__m"), F.avg("crowd").alias("crowd"))
+    streets = streets.withColumn("shade", F.when(F.col("length") > 0, F.col("__m") / F.col("length")).otherwise(F.col("__m"))).drop("__m")
+    top = streets.groupBy(*of).agg(F.greatest(F.lit(1.0), F.max("crowd")).alias("__top"))
+    with_top = streets.join(top, list(of)) if of else streets.crossJoin(F.broadcast(top))  # one row
+    return with_top.withColumn("w2", 0.4 * F.col("crowd") / F.col("__top") + 0.6 * (1 - F.col("shade"))).drop("__top")
 
 
 def coolest_within(pairs: DataFrame, edges: DataFrame, tau: float = 1.2, slack: float = 1.0, rounds: int = 22) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penumbra.operators.graph import cut_lineage
 from penumbra.functions.geometry import crosses, distance2, project, ray_hit
 
 
@@ -42,6 +43,25 @@ def nearest(left: DataFrame, near: DataFrame, key: str, near_key: str, cap: floa
     return best.select(key, F.col(f"best.{near_key}").alias(near_key), F.col("best.d2").alias("d2"))
 
 
+def nearest_of_all(left: DataFrame, near: DataFrame, key: str, near_key: str, first: float) -> DataFrame:
+    """Of each left row the nearest of near, however far; ties go to the least near_key. Rows without coordinates are left out.
+
+    The reach begins at first and grows fourfold for the rows that have found none, so near is never compared with all rows.
+    """
+    rest = cut_lineage(left.filter("abs(x) < 1e15 and abs(y) < 1e15"))
+    near = cut_lineage(near.filter("abs(nx) < 1e15 and abs(ny) < 1e15"))
+    if near.isEmpty():
+        return nearest(rest, near, key, near_key, first)
+    parts, reach = [], first
+    while not rest.isEmpty():
+        parts.append(cut_lineage(nearest(rest, near, key, near_key, reach)))
+        rest, reach = cut_lineage(rest.join(parts[-1], key, "left_anti")), reach * 4
+    out = parts[0] if parts else nearest(rest, near, key, near_key, first)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def nearest_or(left: DataFrame, matched: DataFrame, near: DataFrame, key: str, near_key: str, cap: float) -> DataFrame:
     """matched (key, near_key), and for the left rows that it lacks the nearest within cap."""
     return matched.select(key, near_key).unionByName(nearest(left.join(matched, key, "left_anti"), near, key, near_key, cap).select(key, near_key))

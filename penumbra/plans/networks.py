@@ -140,10 +140,10 @@ def n09(t: Tables) -> DataFrame:
 TREE = sssp_sql("length", "d") + """, p as (select r.src, r.node, arg_min(q.node, (q.node, e.edge_id)) as pred, arg_min(e.edge_id, (q.node, e.edge_id)) as edge from r join e on e.v = r.node join r q on q.src = r.src and q.node = e.u and q.cost + e.c = r.cost where r.cost > 0 group by r.src, r.node)"""
 
 
-@query("n10_paths", TREE + ", w as (select src, node as target, pred, edge, cast(0 as int) as step from p where src % 10 = 1 and node % 7 = 0 union all select w.src, w.target, p.pred, p.edge, w.step + 1 from w join p on p.src = w.src and p.node = w.pred) select src, target, step, edge from w")
+@query("n10_paths", TREE + ", w as (select src, node as target, pred, edge, cast(0 as int) as step from p union all select w.src, w.target, p.pred, p.edge, w.step + 1 from w join p on p.src = w.src and p.node = w.pred) select src, target, step, edge from w")
 def n10(t: Tables) -> DataFrame:
     trees = N.cut_lineage(R.route(sources(t), plain_edges(t)))
-    want = trees.filter("src % 10 = 1 and node % 7 = 0 and edge is not null").select("src", "param", "node")
+    want = trees.filter("edge is not null").select("src", "param", "node")
     return R.paths(trees, want).select("src", "target", "step", "edge")
 
 
@@ -172,9 +172,9 @@ def n12(t: Tables) -> DataFrame:
     return chosen.select("src", "node", F.col("param").alias("lam"), "len", "short_len")
 
 
-@query("n14_banned_edges", sssp_sql("length", "d", "(select * from {lattice} where edge_id % 6 <> 0)") + " select src, node, cost from r where node % 11 = 0")
+@query("n14_banned_edges", sssp_sql("length", "d", "(select * from {lattice} where edge_id % 6 <> 0)") + " select src, node, cost from r")
 def n14(t: Tables) -> DataFrame:
-    return R.relax(sources(t), plain_edges(t, t.lattice().filter("edge_id % 6 <> 0"))).filter("node % 11 = 0").select("src", "node", "cost")
+    return R.relax(sources(t), plain_edges(t, t.lattice().filter("edge_id % 6 <> 0"))).select("src", "node", "cost")
 
 
 @query("n15_diversified")
@@ -186,22 +186,38 @@ def n15(t: Tables) -> DataFrame:
     return t.rows("rank int, length long, n_edges int", *[(k, int(n), len(e)) for k, (n, e) in enumerate(found)])
 
 
-@query("n16_resistance", "select id, round(0.2::double * gfa / (select greatest(1, max(gfa)) from {buildings}) + 0.3::double * (1 - (id % 101) / 100.0::double) + 0.3::double * greatest(0.0::double, least(1.0::double, (id % 150) / 100.0::double - 1)) + 0.2::double * ((id % 37) / 37.0::double), 6) as w1 from {buildings}")
+@query("n16_resistance", """select id, round(0.2::double * gfa / greatest(1, max(gfa) over (partition by id // 8)) + 0.3::double * (1 - (id % 101) / 100.0::double)
++ 0.3::double * greatest(0.0::double, least(1.0::double, ((id % 150) / 100.0::double - 1) / 0.25::double)) + 0.2::double * ((id % 37) / 37.0::double), 6) as w1 from {buildings}""")
 def n16(t: Tables) -> DataFrame:
     k = F.col("id")
-    m = t.buildings().select(k, F.col("gfa").cast("double").alias("crowd"), (k % 101 / 100.0).alias("shade"), (k % 150 / 100.0).alias("detour"), (k % 37 / 37.0).alias("sun_run"))
-    return R.resistance(m).select("id", F.round("w1", 6).alias("w1"))
+    m = t.buildings().select(k, F.floor(k / 8).alias("od"), F.col("gfa").cast("double").alias("crowd"), (k % 101 / 100.0).alias("shade"), (k % 150 / 100.0).alias("detour"), (k % 37 / 37.0).alias("sun_run"))
+    return R.resistance(m, 1.25, ("od",)).select("id", F.round("w1", 6).alias("w1"))
 
 
 STREET = "(select * from {lattice} where dir = 0 and u % 40 < 12 or dir = 1 and u % 40 = 6)"
 
 
-@query("n17_streets", label_sql(
+STREET_LABELS = label_sql(
     f"(select x.edge_id as a, y.edge_id as b from {STREET} x join {STREET} y on x.edge_id <> y.edge_id and len(list_intersect([x.u, x.v], [y.u, y.v])) > 0 where (list_intersect([x.u, x.v], [y.u, y.v]))[1] in (select node from (select unnest([u, v]) as node from {STREET}) group by node having count(*) = 2))",
-    f"(select edge_id as id from {STREET})") + " select id as edge_id, label as street from l")
+    f"(select edge_id as id from {STREET})")
+
+
+@query("n17_streets", STREET_LABELS + " select id as edge_id, label as street from l")
 def n17(t: Tables) -> DataFrame:
-    e = t.lattice().filter("(edge_id % 2 = 0 and u % 40 < 12) or (edge_id % 2 = 1 and u % 40 = 6)")
-    return N.contract_streets(e, t.rows("node long", (-1,)))
+    return N.contract_streets(_street_edges(t), t.rows("node long", (-1,)))
+
+
+def _street_edges(t: Tables) -> DataFrame:
+    return t.lattice().filter("(edge_id % 2 = 0 and u % 40 < 12) or (edge_id % 2 = 1 and u % 40 = 6)")
+
+
+@query("n17_street_resistance", STREET_LABELS + f""", s as (select label as street, sum(length) as length, sum(length * shade_pct / 100.0::double) / sum(length) as shade, avg(edge_id % 97) as crowd from l join {STREET} e on e.edge_id = l.id group by label)
+select street, length, round(shade, 6) as shade, round(crowd, 6) as crowd, round(0.4::double * crowd / greatest(1, (select max(crowd) from s)) + 0.6::double * (1 - shade), 6) as w2 from s""")
+def n17b(t: Tables) -> DataFrame:
+    e = _street_edges(t)
+    named = N.contract_streets(e, t.rows("node long", (-1,)))
+    edges = e.join(named, "edge_id").select("street", "length", (F.col("shade_pct") / 100.0).alias("shade"), (F.col("edge_id") % 97).cast("double").alias("crowd"))
+    return R.street_resistance(edges).select("street", "length", rnd("shade", 6).alias("shade"), rnd("crowd", 6).alias("crowd"), rnd("w2", 6).alias("w2"))
 
 
 @query("n18_snap_to_edge", f"select id, arg_min(seg, (round(distance, 6), seg)) as seg, arg_min(t < 0.5, (round(distance, 6), seg)) as at_start from {FOOT} where distance <= 50 group by id")

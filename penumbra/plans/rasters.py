@@ -36,11 +36,11 @@ def r18(t: Tables) -> DataFrame:
     return t.pixels().select("id", R.category(flags, F.when(F.col("hour").between(7, 19), 10).otherwise(-5)).alias("class"))
 
 
-@query("r01_rasterise", "select row, col, case when row + col > 100 then 2 else 1 end as v from {pixels} where row between 10 and 90 and col between 10 and 90 and (row + col > 100 or (row <= 60 and col <= 60)) and row < 100".replace("(row + col > 100 or", "((row > 30 and col > 30) or").replace("case when row + col > 100", "case when row > 30 and col > 30"))
+@query("r01_rasterise", "select row, col, case when row + col > 100 then 2 else 1 end as v from {pixels} where row between 10 and 90 and col between 10 and 90 and (row + col > 100 or (row <= 60 and col <= 60))".replace("(row + col > 100 or", "((row > 30 and col > 30) or").replace("case when row + col > 100", "case when row > 30 and col > 30"))
 def r01(t: Tables) -> DataFrame:
     box = lambda ring, x0, y0, x1, y1, v: [(ring, x0, y0, x1, y0, v), (ring, x1, y0, x1, y1, v), (ring, x1, y1, x0, y1, v), (ring, x0, y1, x0, y0, v)]
     edges = t.rows("ring int, x0 double, y0 double, x1 double, y1 double, v int", *box(1, 9.5, 9.5, 60.5, 60.5, 1), *box(2, 30.5, 30.5, 90.5, 90.5, 2)).withColumn("ord", F.col("ring"))
-    px = t.pixels().filter("row < 100").select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    px = t.pixels().select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     return R.rasterise(px, edges, "ord", "v")
 
 
@@ -91,48 +91,48 @@ def _closed(mask: str, r: int) -> str:
     return f"(select row + a as row, col + b as col from (select distinct row + a as row, col + b as col from {mask} cross join {disk}) cross join {disk} group by 1, 2 having count(*) = (select count(*) from {disk}))"
 
 
-SPARSE = "(select row, col from {pixels} where class >= 9 and lit_pct > 20 and row < 60)"
+SPARSE = "(select row, col from {pixels} where class >= 9 and lit_pct > 20)"
 
 
 @query("r09_closing", f"select row, col from {_closed(SPARSE, 2)}")
 def r09(t: Tables) -> DataFrame:
-    return R.close_mask(_mask(t, "class >= 9 and lit_pct > 20 and row < 60"), 2)
+    return R.close_mask(_mask(t, "class >= 9 and lit_pct > 20"), 2)
 
 
 @query("r10_corridor_bridge", f"select row, col from {SPARSE} union select c.row, c.col from {_closed(SPARSE, 2)} c join {{pixels}} p on p.row = c.row and p.col = c.col where p.dem > 5")
 def r10(t: Tables) -> DataFrame:
-    return R.bridge_mask(_mask(t, "class >= 9 and lit_pct > 20 and row < 60"), _mask(t, "dem > 5"), 2)
+    return R.bridge_mask(_mask(t, "class >= 9 and lit_pct > 20"), _mask(t, "dem > 5"), 2)
 
 
-MASK = "(select row, col, row * 100 + col as id from {pixels} where lit_pct > 55 and row < 60)"
+MASK = "(select row, col, row * 100 + col as id from {pixels} where lit_pct > 55)"
 LABEL = f"""with recursive m as (select * from {MASK}), e as (select a.id as a, b.id as b from m a join m b on abs(a.row - b.row) + abs(a.col - b.col) = 1),
 l(id, label) using key (id) as (select id, id from m union select e.b, min(l.label) from l join e on e.a = l.id join recurring.l as o on o.id = e.b where l.label < o.label group by e.b)"""
 
 
 @query("r11_labels", f"{LABEL} select id // 100 as row, id % 100 as col, label from l")
 def r11(t: Tables) -> DataFrame:
-    return R.label_mask(_mask(t, "lit_pct > 55 and row < 60"), GRID)
+    return R.label_mask(_mask(t, "lit_pct > 55"), GRID)
 
 
 @query("r11_betti", f"{LABEL} select cast(abs(count(distinct label) - 100) as bigint) as betti from l where label in (select label from l group by label having count(*) >= 3)")
 def r11b(t: Tables) -> DataFrame:
-    big = R.drop_small(R.label_mask(_mask(t, "lit_pct > 55 and row < 60"), GRID), 3)
+    big = R.drop_small(R.label_mask(_mask(t, "lit_pct > 55"), GRID), 3)
     return big.agg(F.abs(F.count_distinct("label") - 100).alias("betti"))
 
 
 @query("r12_overlap_filter", f"{LABEL} select id // 100 as row, id % 100 as col from l where label in (select label from l left join (select row * 100 + col as id, 1 as one from {{pixels}} where class < 4) o using (id) group by label having avg(coalesce(one, 0)) <= 0.5)")
 def r12(t: Tables) -> DataFrame:
-    return R.overlap_filter(R.label_mask(_mask(t, "lit_pct > 55 and row < 60"), GRID), _mask(t, "class < 4"), 0.5).select("row", "col")
+    return R.overlap_filter(R.label_mask(_mask(t, "lit_pct > 55"), GRID), _mask(t, "class < 4"), 0.5).select("row", "col")
 
 
 @query("r02_vectorise", f"{LABEL} select label, count(*) as area from l group by label having count(*) >= 4")
 def r02(t: Tables) -> DataFrame:
-    return R.label_mask(_mask(t, "lit_pct > 55 and row < 60"), GRID).groupBy("label").agg(F.count("*").alias("area")).filter("area >= 4")
+    return R.label_mask(_mask(t, "lit_pct > 55"), GRID).groupBy("label").agg(F.count("*").alias("area")).filter("area >= 4")
 
 
 @query("r27_close_and_drop", f"select count(*) as n from {_closed(SPARSE, 1)}")
 def r27(t: Tables) -> DataFrame:
-    closed = R.close_mask(_mask(t, "class >= 9 and lit_pct > 20 and row < 60"), 1)
+    closed = R.close_mask(_mask(t, "class >= 9 and lit_pct > 20"), 1)
     return R.drop_small(R.label_mask(closed, GRID), 1).agg(F.count("*").alias("n"))
 
 

@@ -219,23 +219,24 @@ def s07(t: Tables) -> DataFrame:
     return t.pixels().withColumn("band", F.col("hour") + 1).filter("band = 15").select("row", "col", "band", "lit_pct")
 
 
-NAMES = "(select case when c_custkey % 10 = 3 then 'thumb_' || c_custkey || '.png' else c_custkey || '_103.' || (c_custkey % 90 + 10) || '_1.' || (c_custkey % 80 + 10) || '_2024-0' || (c_custkey % 9 + 1) || '_' || (c_custkey % 360) || '_' || (c_custkey % 4 + 1) || '.jpg' end as name from customer)"
+NAMES = """(select case when c_custkey % 10 = 3 then 'thumb_' || c_custkey || '.png' when c_custkey % 10 = 7 then c_custkey || '_preview.JPG' else c_custkey || '_103.' || (c_custkey % 90 + 10) || '_-1.' || (c_custkey % 80 + 10)
+|| '_20240' || (c_custkey % 9 + 1) || '_baseheading' || (c_custkey % 360) || '.5_viewheading-' || (c_custkey % 180) || '.25_' || (c_custkey % 4 + 1) || '.jpg' end as name from customer)"""
 
 
 def _names(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     s = lambda c: c.cast("string")
-    good = F.concat(s(k), F.lit("_103."), s(k % 90 + 10), F.lit("_1."), s(k % 80 + 10), F.lit("_2024-0"), s(k % 9 + 1), F.lit("_"), s(k % 360), F.lit("_"), s(k % 4 + 1), F.lit(".jpg"))
-    return t.customer.select(F.when(k % 10 == 3, F.concat(F.lit("thumb_"), s(k), F.lit(".png"))).otherwise(good).alias("name"))
+    good = F.concat(s(k), F.lit("_103."), s(k % 90 + 10), F.lit("_-1."), s(k % 80 + 10), F.lit("_20240"), s(k % 9 + 1), F.lit("_baseheading"), s(k % 360), F.lit(".5_viewheading-"), s(k % 180), F.lit(".25_"), s(k % 4 + 1), F.lit(".jpg"))
+    return t.customer.select(F.when(k % 10 == 3, F.concat(F.lit("thumb_"), s(k), F.lit(".png"))).when(k % 10 == 7, F.concat(s(k), F.lit("_preview.JPG"))).otherwise(good).alias("name"))
 
 
-@query("s08_file_names", rf"""select cast(m[1] as bigint) as pid, cast(m[2] as double) as lon, cast(m[3] as double) as lat, m[4] as month, cast(m[5] as double) as heading, cast(m[6] as int) as view
-from (select string_split(replace(name, '.jpg', ''), '_') as m from {NAMES} where name like '%.jpg')""")
+@query("s08_file_names", rf"""select cast(m[1] as bigint) as pid, cast(m[2] as double) as lon, cast(m[3] as double) as lat, m[4] as date, cast(replace(m[5], 'baseheading', '') as double) as baseheading,
+cast(replace(m[6], 'viewheading', '') as double) as viewheading, cast(m[7] as int) as view_idx from (select string_split(replace(name, '.jpg', ''), '_') as m from {NAMES} where name like '%.jpg')""")
 def s08(t: Tables) -> DataFrame:
     return readers.view_names(_names(t))[0].drop("name")
 
 
-@query("s08_skipped_names", f"select count(*) as skipped from {NAMES} where name not like '%.jpg'")
+@query("s08_skipped_names", f"select count(*) as skipped from {NAMES} where name like '%.JPG'")
 def s08b(t: Tables) -> DataFrame:
     return readers.view_names(_names(t))[1]
 

@@ -142,7 +142,7 @@ def x05(t: Tables) -> DataFrame:
 @query("r28_label_stitching", f"{rasters.LABEL} select count(distinct label) as n from l where label in (select label from l left join (select row * 100 + col as id, 1 as one from {{pixels}} where class < 4) o using (id) group by label having avg(coalesce(one, 0)) <= 0.5)")
 def r28(t: Tables) -> DataFrame:
     """Tiles with halos, stitched, labelled, filtered by overlap."""
-    tiled = R.tiles(t.pixels().filter("row < 60").select("row", "col", "lit_pct"), 40, 5)
+    tiled = R.tiles(t.pixels().select("row", "col", "lit_pct"), 40, 5)
     mask = R.core_mosaic(tiled, 40, "lit_pct").filter("lit_pct > 55").select("row", "col")
     return R.overlap_filter(R.label_mask(mask, 100), t.pixels().filter("class < 4").select("row", "col"), 0.5).agg(F.count_distinct("label").alias("n"))
 
@@ -170,14 +170,14 @@ def n22(t: Tables) -> DataFrame:
     return N.bridge_ends(links, thin).select("a", "b", rnd("distance").alias("distance"))
 
 
-@query("d10_od_export", f"select station, b // 3 as target, round(sum(vol), 4) as vol, round(sum(vol * d) / sum(vol), 4) as d from (select h.station, q.id as b, h.vol * q.gfa / n.g as vol, h.d from {HUFF} h join (select id, id * 23 % 500 as node, gfa from {{buildings}}) q on q.node = h.b % 500 join (select id * 23 % 500 as node, sum(gfa) as g from {{buildings}} group by 1) n on n.node = q.node where h.station % 5 = 0) group by 1, 2")
+@query("d10_od_export", f"select station, b // 3 as target, round(sum(vol), 4) as vol, round(sum(vol * d) / sum(vol), 4) as d from (select h.station, q.id as b, h.vol * q.gfa / n.g as vol, h.d from {HUFF} h join (select id, id * 23 % 500 as node, gfa from {{buildings}}) q on q.node = h.b % 500 join (select id * 23 % 500 as node, sum(gfa) as g from {{buildings}} group by 1) n on n.node = q.node) group by 1, 2")
 def d10(t: Tables) -> DataFrame:
     """Volumes at nodes shared back to the node's buildings by weight, re-targeted and merged."""
     from penumbra.operators.demand import merge_pairs
 
     own = t.buildings().select("id", (F.col("id") * 23 % 500).alias("node"), "gfa")
     total = own.groupBy("node").agg(F.sum("gfa").alias("g"))
-    h = huff(t).filter("station % 5 = 0").select("station", (F.col("b") % 500).alias("node"), "vol", "d")
+    h = huff(t).select("station", (F.col("b") % 500).alias("node"), "vol", "d")
     back = h.join(own, "node").join(total, "node").withColumn("vol", F.col("vol") * F.col("gfa") / F.col("g")).withColumn("target", F.floor(F.col("id") / 3).cast("long"))
     return merge_pairs(back, ["station", "target"], "vol", "d", "id").select("station", "target", rnd("vol").alias("vol"), rnd("d").alias("d"))
 

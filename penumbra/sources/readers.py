@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: pid_lon_lat_date_heading_view.jpg
-VIEW_NAME = r"^(\d+)_(-?\d+(?:\.\d+)?)_(-?\d+(?:\.\d+)?)_(\d{4}-\d{2})_(\d+(?:\.\d+)?)_(\d)\.jpg$"
+#: A fixed format: pid_lon_lat_yyyymm_baseheadingX_viewheadingY_view.jpg
+VIEW_NAME = r"^(\d+)_(-?\d+\.\d+)_(-?\d+\.\d+)_(\d{6})_baseheading(-?\d+\.\d+)_viewheading(-?\d+\.\d+)_(\d)\.jpg$"
 
 
 def csv_union(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
@@ -28,11 +28,12 @@ def points_in_box(spark: SparkSession, path: str, columns: list[str], box: tuple
 
 
 def view_names(files: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """Parsed file names (pid, lon, lat, month, heading, view), and the number of names that do not match."""
-    part = lambda i, t: F.regexp_extract(name, VIEW_NAME, i).cast(t)
+    """Parsed image names (pid, lon, lat, date, baseheading, viewheading, view_idx), and the number of those that do not match; files of other kinds are neither."""
+    images = files.filter(F.lower(name).endswith(".jpg"))
+    kinds = {"pid": "long", "lon": "double", "lat": "double", "date": "string", "baseheading": "double", "viewheading": "double", "view_idx": "int"}
     good = F.col(name).rlike(VIEW_NAME)
-    parsed = files.filter(good).select(name, part(1, "long").alias("pid"), part(2, "double").alias("lon"), part(3, "double").alias("lat"), part(4, "string").alias("month"), part(5, "double").alias("heading"), part(6, "int").alias("view"))
-    return parsed, files.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("skipped"))
+    parsed = images.filter(good).select(name, *[F.regexp_extract(name, VIEW_NAME, i).cast(t).alias(k) for i, (k, t) in enumerate(kinds.items(), 1)])
+    return parsed, images.agg(F.count_if(~good).alias("skipped"))
 
 
 def label_polygons(lines: DataFrame, column: str = "value") -> DataFrame:

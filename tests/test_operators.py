@@ -372,3 +372,29 @@ def test_adaptive_coolest_takes_every_supplier(spark, tmp_path):
     spark.range(30, 60).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r.pair: r for r in queries()["n13_adaptive_coolest"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(30, 60)) and all(r.len <= 1.2 * r.short_len + 1.01 for r in got.values())
+
+
+def test_timer_sorts_a_key_across_batches_of_rows(spark, tmp_path):
+    """One key whose shuffled rows span many Arrow batches."""
+    import random
+
+    from penumbra.streaming import events as E
+
+    g = random.Random(1)
+    rows = [(1, k, float(g.randrange(100))) for k in range(25_000)]
+    shuffled = g.sample(rows, len(rows))
+    spark.createDataFrame(shuffled, "user_id long, s long, value double").selectExpr("user_id", "timestamp_seconds(s) as ts", "value").coalesce(1).write.parquet(str(tmp_path / "e" / "events.parquet"))
+    got = {r.at_s: r.held for r in E.run_to_end(E.over_threshold(E.read_events(spark, str(tmp_path / "e")), "user_id", "ts", "value", 50)).collect()}
+    since = None
+    for _, s, v in rows:
+        since = None if v <= 50 else s if since is None else since
+        assert got[s] == (0 if since is None else s - since)
+
+
+def test_image_names(spark):
+    from penumbra.sources import readers
+
+    names = ["12_103.85_-1.29_202403_baseheading10.5_viewheading-80.25_3.jpg", "12_103.85_1.29_2024-03_10_3.jpg", "x.JPG", "notes.txt", None]
+    parsed, skipped = readers.view_names(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert [tuple(r)[1:] for r in parsed.collect()] == [(12, 103.85, -1.29, "202403", 10.5, -80.25, 3)]
+    assert skipped.first()[0] == 2
