@@ -8,6 +8,7 @@ ties are exact; of equal costs the least (predecessor, edge) wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -152,12 +153,12 @@ def within_detour(paths: DataFrame, shortest: DataFrame, tau_pct: int, slack: in
     return base.join(first.select("src", "node", "param", "len"), ["src", "node"], "left").select("src", "node", "param", F.coalesce("len", "short_len").alias("len"), "short_len")
 
 
-def paths(trees: DataFrame, targets: DataFrame, rounds: int = 10_000) -> DataFrame:
+def paths(trees: DataFrame, targets: DataFrame) -> DataFrame:
     """(src, param, target, step, edge): the edges from each target (src, param, node) back to the source, step 0 at the target."""
     steps = trees.select("src", "param", "node", "pred", "edge")
     at = cut_lineage(targets.select("src", "param", F.col("node").alias("target"), "node").join(steps, ["src", "param", "node"]).withColumn("step", F.lit(0)))
     out = at.filter("edge is not null")
-    for k in range(1, rounds):
+    for k in count(1):  # until every path has reached its source
         at = at.filter("pred is not null").select("src", "param", "target", F.col("pred").alias("node")).join(steps, ["src", "param", "node"]).withColumn("step", F.lit(k))
         at = cut_lineage(at)
         if at.isEmpty():
