@@ -258,6 +258,7 @@ SKY_BANDS = {
 }
 
 
+#: Fixed values of the sky divisions: altitudes of the bands and where azimuths start, by option.
 SKY_ALTITUDES = {k: (6, 18, 30, 42, 54, 66, 78, 90) for k in (1, 2, 3)} | {4: (3, 9, 15, 21, 27, 33, 39, 45, 51, 57, 63, 69, 75, 81, 90)}
 SKY_STARTS = {k: (0, 4, 2, 5, 8, 0, 10, 0) for k in (1, 2, 3)} | {4: (0, 0, 4, 4, 2, 2, 5, 5, 8, 8, 0, 0, 10, 10, 0)}
 

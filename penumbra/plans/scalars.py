@@ -106,6 +106,7 @@ def f16(t: Tables) -> DataFrame:
     return t.pixels().select("id", F.round(T.wind_speed(F.col("dem"), F.col("hour")).cast("double"), 6).alias("ws"))
 
 
+#: The leading terms of the published comfort polynomial (powers of air temperature, wind, radiant difference, vapour pressure).
 UTCI_TERMS = [(0, 0, 0, 0, 0.607562052), (1, 0, 0, 0, -0.0227712343), (0, 1, 0, 0, -2.2583652), (1, 1, 0, 0, 0.0880326035), (0, 0, 1, 0, 0.398374029), (0, 0, 0, 1, 5.12733497)]
 
 
