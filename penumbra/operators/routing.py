@@ -3,6 +3,9 @@
 Two forms give the same trees: `relax` is relational (a bounded Bellman-Ford whose frontier alone is joined in a round); `route`
 runs Dijkstra for each source in an Arrow function with the graph broadcast, for a graph of a checked size. Costs are integers, so
 ties are exact; of equal costs the least (predecessor, edge) wins.
+
+An edge table has either a column param, a graph for each param, or a column slope: then one graph serves every param, an edge
+costing cost + param * slope for a source of that param.
 """
 
 from __future__ import annotations
@@ -10,15 +13,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.operators.graph import both_ways, cut_lineage
 
-#: Edges up to which `route` broadcasts the graph.
+#: Edges up to which a graph is broadcast: two arcs of six numbers each, so 192 MB at most.
 BROADCAST_EDGES = 2_000_000
 TREE = ["src", "param", "node", "cost", "len", "shade", "hops", "pred", "edge"]
+#: Rows of trees that a task of `route` holds before it passes them on, but for the tree at hand.
+TREE_ROWS = 50_000
+
+
+def compressed(edges: pa.Table) -> tuple[np.ndarray, ...]:
+    """Sorted node ids, the first arc of each, then for each arc its target (as an index) and the other columns of edges (u, v, ...), either way."""
+    col = {c: edges.column(c).to_numpy() for c in edges.column_names}
+    m = edges.num_rows
+    nodes, ends = np.unique(np.concatenate([col["u"], col["v"]]), return_inverse=True)
+    order = np.argsort(ends, kind="stable")
+    first = np.zeros(len(nodes) + 1, np.int64)
+    np.cumsum(np.bincount(ends, minlength=len(nodes)), out=first[1:])
+    to = np.concatenate([ends[m:], ends[:m]])[order].astype(np.int64)
+    return (nodes, first, to, *(c[order % m] if m else c for name, c in col.items() if name not in ("u", "v")))
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -29,17 +47,20 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 def relax(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Trees (src, param, node, cost, len, shade, hops, pred, edge) within each source's cut-off.
 
-    sources: src, param, start, cutoff; edges: edge_id, u, v, param, cost, length, shade (of a param the edge has one cost).
-    Sources whose start is null are left out; the start itself has no predecessor.
+    sources: src, param, start, cutoff; edges: edge_id, u, v, cost, length, shade, and param or slope (see above).
+    Sources whose start is null are left out; the start itself has no predecessor. Doubles do for cost, slope and param too.
     """
-    arcs = both_ways(edges).select("edge_id", F.col("u").alias("node"), "v", "param", F.col("cost").alias("c"), F.col("length").alias("l"), F.col("shade").alias("s"))
+    own = "param" in edges.columns
+    slope = F.lit(0) if own else F.col("slope")
+    arcs = both_ways(edges).select("edge_id", F.col("u").alias("node"), "v", *(["param"] if own else []), F.col("cost").alias("c"), slope.alias("more"), F.col("length").alias("l"), F.col("shade").alias("s"))
     zero = F.lit(0).cast("long")
     state = sources.filter("start is not null").select("src", "param", F.col("start").alias("node"), zero.alias("cost"), zero.alias("len"), zero.alias("shade"), zero.alias("hops"), F.lit(None).cast("long").alias("pred"), F.lit(None).cast("long").alias("edge"))
     cutoffs = sources.select("src", "param", "cutoff")
     state = cut_lineage(state.withColumn("fresh", F.lit(True)))
     while True:
         step = (
-            state.filter("fresh").join(arcs, ["node", "param"]).join(cutoffs, ["src", "param"]).filter("cost + c <= cutoff")
+            state.filter("fresh").join(arcs, ["node", "param"] if own else "node").withColumn("c", F.col("c") + F.col("param") * F.col("more"))
+            .join(cutoffs, ["src", "param"]).filter("cost + c <= cutoff")
             .select("src", "param", F.col("v").alias("to"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("len") + F.col("l")).alias("len"),
                     (F.col("shade") + F.col("s")).alias("shade"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"), F.col("edge_id").alias("edge"))
             .withColumnRenamed("to", "node").withColumn("fresh", F.lit(True))
@@ -55,43 +76,70 @@ def relax(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def route(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """As relax. The graph is collected once and broadcast if it has at most BROADCAST_EDGES rows, else relax does the work."""
+    """As relax, for whole numbers. A graph of at most BROADCAST_EDGES rows is broadcast once, as arrays; beyond that relax does the work."""
     if edges.count() > BROADCAST_EDGES:
         return relax(sources, edges)
-    rows = edges.select("edge_id", "u", "v", "param", "cost", "length", "shade").toArrow().to_pydict()
-    held = sources.sparkSession.sparkContext.broadcast(rows)
+    own = "param" in edges.columns
+    numbers = [F.col(c).cast("long").alias(c) for c in ("u", "v", "edge_id", "cost", *(() if own else ("slope",)), "length", "shade")]
+    rows = edges.dropna(subset=["u", "v", "cost"]).select(*(["param"] if own else []), *numbers).toArrow()
+    if own:
+        params = rows.column("param").to_numpy()
+        rows = rows.drop_columns("param").add_column(4, "slope", pa.array(np.zeros(len(params), np.int64)))
+        graphs = {int(p): compressed(rows.filter(pa.array(params == p))) for p in np.unique(params)}
+    else:
+        graphs = {None: compressed(rows)}
+    held = sources.sparkSession.sparkContext.broadcast(graphs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_left
         from heapq import heappop, heappush
 
-        graph: dict = {}
-        for e, u, v, p, c, length, shade in zip(*held.value.values(), strict=True):
-            graph.setdefault((p, u), []).append((v, c, length, shade, e))
-            graph.setdefault((p, v), []).append((u, c, length, shade, e))
+        views = {p: [memoryview(x) for x in g] for p, g in held.value.items()}
+        out: list[list] = [[] for _ in TREE]
+
+        def filled() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=TREE)
+            for c in out:
+                c.clear()
+            return batch
+
         for b in batches:
-            out: list[list] = [[] for _ in TREE]
             for src, param, start, cutoff in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if start is None:
                     continue
+                graph = views.get(param if own else None)
+                at = bisect_left(graph[0], start) if graph else 0
+                if not graph or at == len(graph[0]) or graph[0][at] != start:  # no edge there
+                    for col, x in zip(out, (src, param, start, 0, 0, 0, 0, None, None), strict=True):
+                        col.append(x)
+                    continue
+                nodes, first, to, edge, fixed, slope, length, shade = graph
                 done: set = set()
-                best = {start: (0, -1, -1, 0, 0, 0)}
-                heap = [(0, start)]
+                best = {at: (0, -1, -1, 0, 0, 0)}
+                heap = [(0, at)]
                 while heap:
                     cost, node = heappop(heap)
                     if node in done:
                         continue
                     done.add(node)
-                    _, _, _, length, shade, hops = best[node]
-                    for to, c, more, dark, e in graph.get((param, node), ()):
-                        if cost + c <= cutoff and to not in done:
-                            new = (cost + c, node, e, length + more, shade + dark, hops + 1)
-                            if to not in best or new < best[to]:
-                                best[to] = new
-                                heappush(heap, (cost + c, to))
-                for node, (cost, pred, e, length, shade, hops) in best.items():
-                    for col, x in zip(out, (src, param, node, cost, length, shade, hops, None if pred < 0 else pred, None if e < 0 else e), strict=True):
+                    _, _, _, far, dark, hops = best[node]
+                    for k in range(first[node], first[node + 1]):
+                        other = to[k]
+                        if other in done:
+                            continue
+                        c = cost + fixed[k] + param * slope[k]
+                        if c > cutoff:
+                            continue
+                        old = best.get(other)
+                        if old is None or c < old[0] or (c == old[0] and (node, edge[k]) < (old[1], old[2])):
+                            best[other] = (c, node, edge[k], far + length[k], dark + shade[k], hops + 1)
+                            heappush(heap, (c, other))
+                for node, (cost, pred, e, far, dark, hops) in best.items():
+                    for col, x in zip(out, (src, param, nodes[node], cost, far, dark, hops, None if pred < 0 else nodes[pred], None if pred < 0 else e), strict=True):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=TREE)
+                if len(out[0]) >= TREE_ROWS:
+                    yield filled()
+        yield filled()
 
     return _spread(sources.select("src", "param", "start", "cutoff"), "src", "param").mapInArrow(run, ", ".join(f"{c} long" for c in TREE))
 
@@ -137,9 +185,9 @@ def push_up_trees(trees: DataFrame, volumes: DataFrame) -> DataFrame:
     return named.groupBy("src", "param").applyInArrow(run, "src long, param long, edge long, flow double")
 
 
-def cool_costs(edges: DataFrame, lambdas: DataFrame) -> DataFrame:
-    """The edge table once for each lambda (param, lam_pct): cost = length * ((100 - shade percent) + lambda percent)."""
-    return edges.crossJoin(F.broadcast(lambdas)).withColumn("cost", F.col("length") * ((100 - F.col("shade_pct")) + F.col("lam_pct"))).withColumn("shade", F.col("length") * F.col("shade_pct"))
+def cool_costs(edges: DataFrame, unit: int = 100) -> DataFrame:
+    """Edges with the cost of a search of any lambda, its param, in parts of unit (a multiple of 100): length * (lack of shade + lambda); shade: shaded length by per cent."""
+    return edges.withColumn("cost", F.col("length") * (100 - F.col("shade_pct")) * (unit // 100)).withColumn("slope", F.col("length")).withColumn("shade", F.col("length") * F.col("shade_pct"))
 
 
 def within_detour(paths: DataFrame, shortest: DataFrame, tau_pct: int, slack: int) -> DataFrame:
@@ -218,19 +266,22 @@ def coolest_within(pairs: DataFrame, edges: DataFrame, tau: float = 1.2, slack:
     """(pair, lam, len, shade, short_len): for each pair (pair, start, target) the least lambda whose coolest path keeps to tau times the shortest plus slack.
 
     Bisection: the upper bound is raised fourfold until its path fits, then halved rounds times. lam is null where only the shortest
-    path fits. edges: edge_id, u, v, length, shade_pct; the graph must have at most BROADCAST_EDGES rows. Pairs without a path are left out.
+    path fits. edges: edge_id, u, v, length, shade_pct. A graph of more than BROADCAST_EDGES rows is searched for all pairs at once
+    by relax, to the same result but for ties. Pairs without a path are left out.
     """
     if edges.count() > BROADCAST_EDGES:
-        raise ValueError("the graph is too large to broadcast; use a grid of lambdas with relax and within_detour")
-    held = edges.sparkSession.sparkContext.broadcast(edges.select("u", "v", "length", "shade_pct").toArrow().to_pydict())
+        return _coolest_by_relax(pairs, edges, tau, slack, rounds)
+    held = edges.sparkSession.sparkContext.broadcast(compressed(edges.select("u", "v", F.col("length").cast("double"), F.col("shade_pct").cast("double")).dropna().toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_left
         from heapq import heappop, heappush
 
-        graph: dict = {}
-        for u, v, n, s in zip(*held.value.values(), strict=True):
-            graph.setdefault(u, []).append((v, n, s))
-            graph.setdefault(v, []).append((u, n, s))
+        nodes, first, to, lengths, shades = (memoryview(x) for x in held.value)
+
+        def index(node: int) -> int:
+            i = bisect_left(nodes, node)
+            return i if i < len(nodes) and nodes[i] == node else -1
 
         def search(start: int, target: int, lam: float | None):
             heap, done = [(0.0, start, 0.0, 0.0)], set()
@@ -241,15 +292,17 @@ def coolest_within(pairs: DataFrame, edges: DataFrame, tau: float = 1.2, slack:
                 if node in done:
                     continue
                 done.add(node)
-                for to, n, s in graph.get(node, ()):
-                    if to not in done:
-                        heappush(heap, (cost + (n if lam is None else n * (1 - s / 100 + lam)), to, length + n, shade + n * s / 100))
+                for k in range(first[node], first[node + 1]):
+                    if to[k] not in done:
+                        n, s = lengths[k], shades[k]
+                        heappush(heap, (cost + (n if lam is None else n * (1 - s / 100 + lam)), to[k], length + n, shade + n * s / 100))
             return None
 
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for pair, start, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                short = search(start, target, None)
+                start, target = (-1 if x is None else index(x) for x in (start, target))
+                short = None if start < 0 or target < 0 else search(start, target, None)
                 if short is None:
                     continue
                 cap = tau * short[0] + slack
@@ -268,3 +321,42 @@ def coolest_within(pairs: DataFrame, edges: DataFrame, tau: float = 1.2, slack:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.float64()) for c in out[1:])], names=["pair", "lam", "len", "shade", "short_len"])
 
     return _spread(pairs.select("pair", "start", "target"), "pair").mapInArrow(run, "pair long, lam double, len double, shade double, short_len double")
+
+
+def _coolest_by_relax(pairs: DataFrame, edges: DataFrame, tau: float, slack: float, rounds: int) -> DataFrame:
+    """coolest_within by one relational search a step for all pairs that it still concerns.
+
+    The search for the shortest path has no cut-off. At any lambda the coolest path costs at most (1 + lambda) times the shortest length, which cuts off the others.
+    """
+    length, dark = F.col("length").cast("double"), F.col("length") * F.col("shade_pct") / 100.0
+    graph = cut_lineage(edges.select("edge_id", "u", "v", (length - dark).alias("cost"), length.alias("slope"), length.alias("length"), dark.alias("shade")))
+
+    def search(rows: DataFrame, lam, cutoff, over: DataFrame = graph) -> DataFrame:
+        """rows with got_len and got_shade, of those whose target is reached."""
+        asked = rows.select(F.col("pair").alias("src"), lam.alias("param"), "start", cutoff.alias("cutoff"))
+        got = relax(asked, over).select(F.col("src").alias("pair"), F.col("node").alias("target"), F.col("len").cast("double").alias("got_len"), F.col("shade").cast("double").alias("got_shade"))
+        return cut_lineage(rows.join(got, ["pair", "target"]))
+
+    def keep(rows: DataFrame, **new) -> DataFrame:
+        return cut_lineage(rows.withColumns(new).drop("got_len", "got_shade"))
+
+    zero, over = F.lit(0.0), F.col("len") > tau * F.col("short_len") + slack
+    plain = graph.withColumn("cost", F.col("length")).withColumn("slope", zero)
+    st = keep(search(pairs.select("pair", "start", "target"), zero, F.lit(float("inf")), plain), short_len=F.col("got_len"), short_shade=F.col("got_shade"))
+    top = (1 + F.col("lam")) * F.col("short_len") * (1 + 1e-9)
+    st = keep(search(st.withColumn("lam", zero), zero, F.col("short_len") * (1 + 1e-9)), len=F.col("got_len"), shade=F.col("got_shade"))
+    fits, rest = st.filter(~over), st.filter(over).withColumn("low", zero).withColumn("lam", F.lit(1.0)).withColumn("tried", F.lit(False))
+    rest = cut_lineage(rest)
+    while not rest.filter(~F.col("tried") | (over & (F.col("lam") < 1e6))).isEmpty():
+        done, live = rest.filter(F.col("tried") & ~(over & (F.col("lam") < 1e6))), rest.filter(~F.col("tried") | (over & (F.col("lam") < 1e6)))
+        live = live.withColumn("low", F.when(F.col("tried"), F.col("lam")).otherwise(F.col("low"))).withColumn("lam", F.when(F.col("tried"), F.col("lam") * 4).otherwise(F.col("lam")))
+        rest = cut_lineage(done.unionByName(keep(search(live, F.col("lam"), top), len=F.col("got_len"), shade=F.col("got_shade"), tried=F.lit(True))))
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
+        rest = search(rest.withColumn("high", F.col("lam")).withColumn("lam", (F.col("low") + F.col("lam")) / 2), F.col("lam"), top)
+        good = F.col("got_len") <= tau * F.col("short_len") + slack
+        rest = keep(rest.withColumn("mid", F.col("lam")).withColumn("good", good), low=F.when(F.col("good"), F.col("low")).otherwise(F.col("mid")), lam=F.when(F.col("good"), F.col("mid")).otherwise(F.col("high")),
+                    len=F.when(F.col("good"), F.col("got_len")).otherwise(F.col("len")), shade=F.when(F.col("good"), F.col("got_shade")).otherwise(F.col("shade"))).drop("mid", "good", "high")
+    told = rest.select("pair", F.when(~over, F.col("lam")).alias("lam"), F.when(over, F.col("short_len")).otherwise(F.col("len")).alias("len"), F.when(over, F.col("short_shade")).otherwise(F.col("shade")).alias("shade"), "short_len")
+    return fits.select("pair", "lam", "len", "shade", "short_len").unionByName(told)

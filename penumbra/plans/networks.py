@@ -107,20 +107,23 @@ def n07b(t: Tables) -> DataFrame:
 COOL = "length * ((100 - shade_pct) + {lam})"
 
 
-def cool_edges(t: Tables, lams: list[int]) -> DataFrame:
-    e = R.cool_costs(t.lattice(), t.rows("param long, lam_pct int", *[(k, k) for k in lams]))
-    return e.select("edge_id", "u", "v", "param", "cost", "length", "shade")
+def cool_edges(t: Tables, tied: bool = False) -> DataFrame:
+    """One edge table for all lambdas. tied: of equal costs the shorter path wins."""
+    e = R.cool_costs(t.lattice())
+    if tied:
+        e = e.withColumn("cost", F.col("cost") * 100_000 + F.col("length")).withColumn("slope", F.col("slope") * 100_000)
+    return e.select("edge_id", "u", "v", "cost", "slope", "length", "shade")
 
 
-def cool_sources(t: Tables, lams: list[int]) -> DataFrame:
-    """The cut-off of the cool search: (1 + lambda) * D * 1.6."""
+def cool_sources(t: Tables, lams: list[int], unit: int = 100) -> DataFrame:
+    """The cut-off of the cool search: (1 + lambda) * D * 1.6; unit: parts of one that the lambdas are given in."""
     lam = F.broadcast(t.rows("lam long", *[(k,) for k in lams]))
-    return sources(t).drop("param").crossJoin(lam).select("src", F.col("lam").alias("param"), "start", F.floor(F.col("cutoff") * (100 + F.col("lam")) * 16 / 10).cast("long").alias("cutoff"))
+    return sources(t).drop("param").crossJoin(lam).select("src", F.col("lam").alias("param"), "start", F.floor(F.col("cutoff") * (unit + F.col("lam")) * 16 / 10).cast("long").alias("cutoff"))
 
 
 @query("n08_coolest", sssp_sql(COOL.replace("{lam}", "20"), "d * 120 * 16 // 10") + " select src, node, cost from r")
 def n08(t: Tables) -> DataFrame:
-    return R.route(cool_sources(t, [20]), cool_edges(t, [20])).select("src", "node", "cost")
+    return R.route(cool_sources(t, [20]), cool_edges(t)).select("src", "node", "cost")
 
 
 #: Length first, then shaded length, in one number, so that the least is one path's.
@@ -152,7 +155,20 @@ LAMS = [0, 15, 100]
 
 @query("n11_lambda_sweep", " union all ".join(f"select {k}::bigint as lam, src, node, cost from ({sssp_sql(COOL.replace('{lam}', str(k)), f'd * {100 + k} * 16 // 10')} select src, node, cost from r)" for k in LAMS))
 def n11(t: Tables) -> DataFrame:
-    return R.route(cool_sources(t, LAMS), cool_edges(t, LAMS)).select(F.col("param").alias("lam"), "src", "node", "cost")
+    return R.route(cool_sources(t, LAMS), cool_edges(t)).select(F.col("param").alias("lam"), "src", "node", "cost")
+
+
+#: The lambdas of the full sweep.
+GRID = [3.0, 1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.2, 0.18, 0.15, 0.12, 0.09, 0.06, 0.04, 0.02, 0.01, 0.005, 0.001]
+MILLE = [round(1000 * x) for x in GRID]
+
+
+@query("n11_lambda_grid", " union all ".join(
+    f"select {k}::bigint as lam_permille, src, count(*) as n, cast(sum(cost) as bigint) as cost from ({sssp_sql(f'length * ((100 - shade_pct) * 10 + {k})', f'd * {1000 + k} * 16 // 10')} select src, node, cost from r) group by src" for k in MILLE))
+def n11b(t: Tables) -> DataFrame:
+    """The sweep at its full width, over one broadcast graph: nodes reached and total cost of each station and lambda."""
+    e = R.cool_costs(t.lattice(), 1000).select("edge_id", "u", "v", "cost", "slope", "length", "shade")
+    return R.route(cool_sources(t, MILLE, 1000), e).groupBy(F.col("param").alias("lam_permille"), "src").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
 
 
 def _tied(k: int) -> str:
@@ -166,7 +182,7 @@ select sh.src, sh.node, cast(f.lam as bigint) as lam, cast(coalesce(f.len, sh.le
 
 @query("n12_tau_choice", TAU)
 def n12(t: Tables) -> DataFrame:
-    e = cool_edges(t, LAMS).withColumn("cost", F.col("cost") * 100_000 + F.col("length"))
+    e = cool_edges(t, tied=True)
     s = cool_sources(t, LAMS).withColumn("cutoff", F.col("cutoff") * 100_000 + 99_999)
     chosen = R.within_detour(R.route(s, e), R.route(sources(t), plain_edges(t)), 120, 10)
     return chosen.select("src", "node", F.col("param").alias("lam"), "len", "short_len")
@@ -294,6 +310,6 @@ def d08(t: Tables) -> DataFrame:
 
 @query("d11_sensitivity", " union all ".join(f"select {k}::bigint as lam, count(*) as n, round(avg(cost % 100000), 4) as mean_len from ({_tied(k)} select * from r)" for k in LAMS))
 def d11(t: Tables) -> DataFrame:
-    e = cool_edges(t, LAMS).withColumn("cost", F.col("cost") * 100_000 + F.col("length"))
+    e = cool_edges(t, tied=True)
     s = cool_sources(t, LAMS).withColumn("cutoff", F.col("cutoff") * 100_000 + 99_999)
     return R.route(s, e).groupBy(F.col("param").alias("lam")).agg(F.count("*").alias("n"), rnd(F.avg("len")).alias("mean_len"))

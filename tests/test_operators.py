@@ -398,3 +398,30 @@ def test_image_names(spark):
     parsed, skipped = readers.view_names(spark.createDataFrame([(n,) for n in names], "name string"))
     assert [tuple(r)[1:] for r in parsed.collect()] == [(12, 103.85, -1.29, "202403", 10.5, -80.25, 3)]
     assert skipped.first()[0] == 2
+
+
+def test_one_graph_serves_every_param(spark, monkeypatch):
+    """A cost that grows with the param gives the trees of a graph for each param; so does the relational form."""
+    edges = random_graph(4)
+    params = [0, 1, 7]
+    each = spark.createDataFrame([(k, u, v, p, c + p * n, n, d) for k, u, v, _, c, n, d in edges for p in params], "edge_id long, u long, v long, param long, cost long, length long, shade long")
+    one = spark.createDataFrame([(k, u, v, c, n, n, d) for k, u, v, _, c, n, d in edges], "edge_id long, u long, v long, cost long, slope long, length long, shade long")
+    s = spark.createDataFrame([(k, p, k, 15 * (1 + p)) for k in range(3) for p in params] + [(8, 0, 777, 9), (9, 0, None, 15)], "src long, param long, start long, cutoff long")
+    want = sorted(map(str, rows(P.route(s, each))))
+    assert sorted(map(str, rows(P.route(s, one)))) == want and sorted(map(str, rows(P.relax(s, one)))) == want
+    assert sum(r.src == 8 for r in P.route(s, one).collect()) == 1
+    monkeypatch.setattr(P, "TREE_ROWS", 1)
+    assert sorted(map(str, rows(P.route(s, one)))) == want
+    assert P.route(s, one.limit(0)).count() == P.route(s, each.limit(0)).count() == len(params) * 3 + 1
+
+
+def test_adaptive_coolest_on_a_graph_too_large_to_broadcast(spark, monkeypatch):
+    g = random.Random(6)
+    edges = [(k, g.randrange(9), g.randrange(9), g.randrange(5, 40), g.randrange(0, 100)) for k in range(24)]
+    e = spark.createDataFrame([x for x in edges if x[1] != x[2]], "edge_id long, u long, v long, length long, shade_pct long")
+    pairs = spark.createDataFrame([(1, 0, 5), (2, 1, 8), (3, 0, 99), (4, None, 1)], "pair long, start long, target long")
+    want, got = [], []
+    for into, most in ((want, P.BROADCAST_EDGES), (got, 0)):
+        monkeypatch.setattr(P, "BROADCAST_EDGES", most)
+        into += sorted((r.pair, r.lam and round(r.lam, 3), round(r.len, 6), round(r.short_len, 6)) for r in P.coolest_within(pairs, e, tau=1.15, slack=0.0, rounds=3).collect())
+    assert got == want and len(want) == 2
