@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded, table
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Pieces whose counts a worker remembers; beyond it they are counted again, so memory stays bounded.
-REMEMBERED = 1_000_000
+#: Pieces whose counts a worker remembers, and their length at most; others are counted again, so memory stays bounded.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
 #: Fixed: how a byte-level vocabulary cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,6 +30,18 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def refuse_other_kinds(spec: dict) -> None:
+    """Raises ValueError if a vocabulary file asks for what the counter does not do."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    odd += ["model.type"] if model.get("type", "BPE") != "BPE" else []
+    odd += ["pre_tokenizer"] if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) else []
+    odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens") or () if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(odd)}")
+
+
 class Counter:
     """Counts tokens with the merges of a byte-level vocabulary file (its JSON form)."""
 
@@ -38,6 +50,7 @@ class Counter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_other_kinds(spec)
         names = byte_symbols()
         ids: dict[str, int] = {s: i for i, s in enumerate(names)}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -45,14 +58,14 @@ class Counter:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             new = ids.setdefault(left + right, len(ids))
             self.merges.setdefault((ids[left], ids[right]), (rank, new))
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pieces = regex.compile(PIECES).findall
 
         class Known(dict):
             def __missing__(known, piece: str) -> int:  # noqa: N805
                 n = self.piece(piece.encode("utf-8", "surrogatepass"))
-                if len(known) < REMEMBERED:
+                if len(known) < REMEMBERED and len(piece) <= REMEMBERED_CHARS:
                     known[piece] = n
                 return n
 
@@ -97,11 +110,14 @@ class Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """One row per row of docs (doc_id, text): bytes, tokens and whether the tokens exceed limit.
 
-    path: a byte-level vocabulary file, which every executor can open. Special strings inside a text count as one token.
+    path: a byte-level vocabulary file, which every executor can open; ValueError if it is of another kind. Special strings inside a text count as one token.
     A null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows are each counted; other
     columns are ignored; an empty table gives no rows. Texts of any length are counted whole.
     """
 
+    with open(path, encoding="utf-8") as f:
+        refuse_other_kinds(json.load(f))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for b in batches:
