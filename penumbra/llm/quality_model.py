@@ -108,7 +108,10 @@ def _stats_frame(texts: list[str | None]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """docs: doc_id, text; labels: doc_id, quality. Rows of a null label are left out; an id with many labels counts by each."""
+    """docs: doc_id, text; labels: doc_id, quality. Rows of a null label are left out; an id with many labels or texts counts by each, equal rows once.
+
+    sample: labels that are taken, about; and, where ids repeat, different texts, about.
+    """
     labels = labels.select("doc_id", "quality").filter("quality is not null and doc_id is not null")
     n = labels.count()
     if n > sample:
@@ -120,8 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), *(pa.array(c) for c in x.T)], names=["doc_id", "quality", *(f"f{i}" for i in range(FEATURES))])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "quality", "text")  # the sample is bounded
-    got = rows.mapInArrow(run, "doc_id long, quality long, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("f0", "ascending")])  # so that reruns agree
+    if docs.select("doc_id").join(F.broadcast(labels), "doc_id").count() > 2 * sample:
+        texts = rows.select("doc_id", "quality", F.xxhash64("text")).distinct().count()
+        rows = rows.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) < int(1e6 * sample / texts) + 1)
+    got = rows.mapInArrow(run, "doc_id long, quality long, " + ", ".join(f"f{i} double" for i in range(FEATURES))).distinct().toArrow()
+    got = got.sort_by([(c, "ascending") for c in got.column_names])  # so that reruns agree
     x = np.stack([got.column(2 + i).to_numpy() for i in range(FEATURES)], 1)
     return fit(x, got.column("quality").to_numpy().astype(float))
 

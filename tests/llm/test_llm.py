@@ -141,6 +141,21 @@ def brute_groups(pairs, radius=4):
     return [low.get(find(i)) for i in range(len(pairs))]
 
 
+def test_vocabularies_of_other_kinds_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens.refuse_other_kinds(spec)
+    spec["model"]["merges"] = spec["model"]["merges"][:10]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "<x>", "lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            tokens.Counter(str(tmp_path / "t.json"))
+
+
 def test_fingerprint_by_hand():
     from xxhash import xxh64_intdigest
 
@@ -335,6 +350,42 @@ def test_language_model_ignores_held_out_labels(docs):
     assert a == b
 
 
+def test_language_scores_equal_brute_force(docs, odd):
+    import unicodedata
+
+    low = (1 << 64) - 1
+
+    def buckets(text):
+        code = [ord(c) for c in text.lower()]
+        for i in range(len(code)):
+            h = 0
+            for k in range(1, min(3, len(code) - i) + 1):
+                h = (h + code[i + k - 1] + k) * 0x9E3779B97F4A7C15 & low
+                h ^= h >> 29
+                yield (h * 0xBF58476D1CE4E5B9 & low) >> 49
+
+    both = docs.unionByName(odd.select(*docs.columns))
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    every = both.collect()
+    counts, rows = {}, Counter()
+    for r in every:
+        if not held(r.doc_id) and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(buckets(r.text))
+            rows[r.lang] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    want = []
+    for r in every:
+        if not any(unicodedata.category(c)[0] == "L" for c in r.text or ""):
+            want.append((r.doc_id or -1, held(r.doc_id), "und", 0.0))
+            continue
+        own = Counter(buckets(r.text))
+        logs = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((c[b] + 1) / (total[x] + 2**15)) for b, n in own.items()) for x, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        want.append((r.doc_id or -1, held(r.doc_id), best, round(1 / sum(math.exp(v - logs[best]) for v in logs.values()), 5)))
+    got = [(r.doc_id or -1, r.held_out, r.lang_pred, round(r.score, 5)) for r in langid.language_id(both).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # operator 7
 
 
@@ -594,3 +645,55 @@ def test_flattened_trees_equal_a_walk():
     got = model.predict(x)
     assert np.allclose(got[:50], [walk(r) for r in x[:50]])
     assert ((got > 0.5) == (y > 0.5)).mean() > 0.85
+
+
+def test_boosted_trees_equal_brute_force():
+    """Every split has the best gain of all features and cuts, every leaf its Newton step."""
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    x = g.normal(size=(300, 4)).round(1)
+    y = (x[:, 0] * x[:, 1] + 0.3 * g.normal(size=300) > 0).astype(float)
+    model = quality_model.fit(x, y, 3)
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, 65)[1:-1]))) for c in x.T]
+    out = np.full(300, math.log(y.mean() / (1 - y.mean())))
+    assert model.base == pytest.approx(out[0])
+
+    def gain(rows, f, c, grad, curv):
+        left = [r for r in rows if x[r, f] <= c]
+        right = [r for r in rows if x[r, f] > c]
+        if min(len(left), len(right)) < 10:
+            return 0.0
+        part = lambda own: sum(grad[r] for r in own) ** 2 / (sum(curv[r] for r in own) + 1)
+        return part(left) + part(right) - part(rows)
+
+    def follow(tree, rows, node, grad, curv):
+        if node >= 15:
+            value = -0.15 * sum(grad[r] for r in rows) / (sum(curv[r] for r in rows) + 1)
+            assert model.value[tree][node - 15] == pytest.approx(value, abs=1e-9)
+            out[rows] += value
+            return
+        f, c = model.feature[tree][node], model.cut[tree][node]
+        best = max(gain(rows, i, v, grad, curv) for i in range(4) for v in cuts[i])
+        assert (gain(rows, f, c, grad, curv) if c < math.inf else 0) == pytest.approx(max(best, 0), abs=1e-6)
+        follow(tree, [r for r in rows if not x[r, f] > c], 2 * node + 1, grad, curv)
+        follow(tree, [r for r in rows if x[r, f] > c], 2 * node + 2, grad, curv)
+
+    for tree in range(3):
+        p = 1 / (1 + np.exp(-out))
+        follow(tree, list(range(300)), 0, p - y, p * (1 - p))
+    assert np.allclose(model.predict(x), 1 / (1 + np.exp(-out)))
+
+
+def test_repeats_of_a_labelled_id_do_not_pile_up(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 30}") for k in range(900)] + [(2, "same")] * 900, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality_model.fit
+    quality_model.fit = lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        quality_model.train(docs, labels)
+        quality_model.train(docs, labels, 10)
+    finally:
+        quality_model.fit = fit
+    assert seen[0] <= 31 and seen[1] <= 25
