@@ -1,5 +1,6 @@
 """Small literal cases: the quirks of each operator, and independence of row order."""
 
+import math
 import random
 
 import pytest
@@ -425,3 +426,89 @@ def test_adaptive_coolest_on_a_graph_too_large_to_broadcast(spark, monkeypatch):
         monkeypatch.setattr(P, "BROADCAST_EDGES", most)
         into += sorted((r.pair, r.lam and round(r.lam, 3), round(r.len, 6), round(r.short_len, 6)) for r in P.coolest_within(pairs, e, tau=1.15, slack=0.0, rounds=3).collect())
     assert got == want and len(want) == 2
+
+
+def test_tile_runs_skip_time_out_and_tell(spark):
+    from penumbra.operators.tile_runs import tile_runs
+
+    def work(row):
+        import time
+
+        if row["tile"] == 2:
+            raise ValueError("bad tile")
+        time.sleep(60 if row["tile"] == 3 else 0)
+
+    tiles = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (None, "a")], "tile long, status string")
+    got = tile_runs(tiles, tiles.filter("tile = 4"), work, timeout=2).collect()
+    assert {r.tile: r.status for r in got} == {1: "done", 2: "ERR(exit1)", 3: "STUCK", 4: "skip", None: "done"}
+    assert tile_runs(tiles.limit(0), tiles, work).count() == 0
+
+
+def _lattice(spark, sf_dir):
+    from penumbra.plans.base import Tables
+
+    return Tables(spark, sf_dir).lattice().collect()
+
+
+def test_bridging_of_the_lattice_equals_one_pass_over_sorted_links(spark, sf_dir):
+    from penumbra.plans.registry import queries
+
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    edges = _lattice(spark, sf_dir)
+    for r in edges:
+        if r.edge_id % 5 > 1:
+            root[find(r.u)] = find(r.v)
+    want = set()
+    for r in sorted((r for r in edges if r.edge_id % 5 <= 1), key=lambda r: (r.shade_pct < 50, r.length, r.edge_id)):
+        if find(r.u) != find(r.v):
+            root[find(r.u)] = find(r.v)
+            want.add((r.edge_id, r.u, r.v))
+    assert want and {tuple(r) for r in queries()["n19_bridging"](spark, sf_dir).collect()} == want
+
+
+def test_spurs_of_the_lattice_equal_brute_force(spark, sf_dir):
+    from penumbra.plans.registry import queries
+
+    left = {r.edge_id: r for r in _lattice(spark, sf_dir) if r.edge_id % 3}
+    while True:
+        n: dict = {}
+        for r in left.values():
+            for x in (r.u, r.v):
+                n[x] = n.get(x, 0) + 1
+        spurs = [k for k, r in left.items() if r.length < 600 and 1 in (n[r.u], n[r.v])]
+        if not spurs:
+            break
+        for k in spurs:
+            del left[k]
+    assert {r.edge_id for r in queries()["n20_spur_prune"](spark, sf_dir).collect()} == set(left)
+
+
+def test_duplicate_lines_equal_brute_force(spark, sf_dir):
+    from penumbra.plans.base import Tables
+    from penumbra.plans.joins import segments
+    from penumbra.plans.registry import queries
+
+    own = [(r.seg, *map(float, (r.x0, r.y0, r.x1, r.y1))) for r in segments(Tables(spark, sf_dir)).collect()]
+    want = set()
+    for k, a0, b0, a1, b1 in own:
+        for j, *c in own:
+            if j % 3:
+                continue
+            x0, y0, x1, y1 = (v + (2 if j % 2 == 0 else 30) for v in c)
+            dx, dy, ex, ey = x1 - x0, y1 - y0, a1 - a0, b1 - b0
+            if not dx * dx + dy * dy or not ex * ex + ey * ey or abs(dx * ex + dy * ey) < 0.8660254 * math.hypot(dx, dy) * math.hypot(ex, ey):
+                continue
+            near = 0
+            for i in range(10):
+                px, py = a0 + (i + 0.5) / 10 * ex, b0 + (i + 0.5) / 10 * ey
+                f = max(0.0, min(1.0, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy)))
+                near += math.hypot(px - x0 - f * dx, py - y0 - f * dy) <= 4
+            if near > 8:
+                want.add(k)
+    assert want and {r.line for r in queries()["g14_duplicate_lines"](spark, sf_dir).collect()} == want
