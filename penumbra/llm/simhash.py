@@ -177,7 +177,8 @@ def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, seed: int =
     """
     fp = cut(fingerprints(docs, words, seed))
     found = classes(fp, radius)
-    least = found.groupBy("root").agg(F.min("low").alias("component_id"))
+    # cut, so that both sides of the join are exchanged and a component of very many fingerprints can be split
+    least = cut(found.groupBy("root").agg(F.min("low").alias("component_id")))
     of = found.join(least, "root").select("fp", "component_id")
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -361,7 +361,8 @@ def duplicate_runs(docs: DataFrame, similarity: float = SIMILARITY, bands: int =
     # paragraphs that are in more than one document or similar to others; what is in one alone goes here
     spans = ranges(docs).join(roots.withColumnRenamed("node", "paragraph"), "paragraph", "left").filter("low < high or root is not null")
     kinds = stored(spans.select("paragraph", F.coalesce("root", "paragraph").alias("root"), "low", "high"))
-    first = kinds.groupBy("root").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("root", "first")
+    # cut, so that both sides of the join are exchanged and a cluster of very many paragraphs can be split
+    first = cut(kinds.groupBy("root").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("root", "first"))
     marks = kinds.join(first, "root").filter("high > first").select("paragraph", "root", "first")
     # both sides are exchanged, so a paragraph of many occurrences can be split
     later = occurrences(docs).join(marks, "paragraph").filter("doc_id > first").select("doc_id", "hash", F.col("at").cast("long").alias("at"), F.col("words").cast("long").alias("words"), "root")
