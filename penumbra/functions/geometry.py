@@ -32,6 +32,33 @@ def project(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Colu
     return {"t": t, "foot_x": fx, "foot_y": fy, "distance": F.sqrt(distance2(px, py, fx, fy)), "along": t * F.sqrt(len2.cast("double"))}
 
 
+def within_capsule(x0: Column, y0: Column, x1: Column, y1: Column, ax: Column, ay: Column, bx: Column, by: Column, r: float) -> Column:
+    """The length of a segment (x0 .. y1) that lies within r of another (a, b).
+
+    What lies within r of a segment is convex: a box and two discs, so the part is one stretch, from the first of their stretches to the last.
+    """
+    x0, y0, x1, y1, ax, ay, bx, by = (c.cast("double") for c in (x0, y0, x1, y1, ax, ay, bx, by))
+    dx, dy, length = x1 - x0, y1 - y0, F.sqrt(distance2(x0, y0, x1, y1))
+    ux, uy = unit(ax, ay, bx, by)
+
+    def slab(at: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        p, q = F.try_divide(low - at, step), F.try_divide(high - at, step)
+        still = F.when((at >= low) & (at <= high), 0.0).otherwise(2.0)  # beyond the end if the slab is never met
+        return F.when(step == 0, still).otherwise(F.least(p, q)), F.when(step == 0, 1.0).otherwise(F.greatest(p, q))
+
+    def disc(cx: Column, cy: Column) -> tuple[Column, Column, Column]:
+        a, b, c = dx * dx + dy * dy, (x0 - cx) * dx + (y0 - cy) * dy, distance2(x0, y0, cx, cy) - r * r
+        root = F.sqrt(F.greatest(F.lit(0.0), b * b - a * c))
+        return b * b >= a * c, F.try_divide(-b - root, a), F.try_divide(-b + root, a)
+
+    along, across = slab((x0 - ax) * ux + (y0 - ay) * uy, dx * ux + dy * uy, F.lit(0.0), F.sqrt(distance2(ax, ay, bx, by))), slab((y0 - ay) * ux - (x0 - ax) * uy, dy * ux - dx * uy, F.lit(-r), F.lit(r))
+    box = F.greatest(along[0], across[0]), F.least(along[1], across[1])
+    parts = [(box[0] <= box[1], *box), disc(ax, ay), disc(bx, by)]
+    first, last = F.least(*[F.when(ok, p) for ok, p, _ in parts]), F.greatest(*[F.when(ok, q) for ok, _, q in parts])
+    share = F.when(first.isNotNull(), F.least(last, F.lit(1.0)) - F.greatest(first, F.lit(0.0)))
+    return length * F.greatest(share, F.lit(0.0))
+
+
 def angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
     """Degrees between two vectors, the cosine clamped to [-1, 1]; null if one has length 0."""
     cos = F.try_divide((ux * vx + uy * vy).cast("double"), F.sqrt((ux * ux + uy * uy).cast("double")) * F.sqrt((vx * vx + vy * vy).cast("double")))

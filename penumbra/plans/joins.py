@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from penumbra.functions import geometry as G
 from penumbra.operators import evaluate as E
+from penumbra.operators import links as L
 from penumbra.operators import spatial as S
+from penumbra.operators.graph import cut_lineage
 from penumbra.plans.base import Tables, query, rnd
 
 
@@ -147,6 +149,31 @@ def j18(t: Tables) -> DataFrame:
     return keep_one(c, ["id"], "slant", "d", "seg").select("id", "seg")
 
 
+def _feet_links(t: Tables, upright: float, reach: float) -> DataFrame:
+    """(id, link, seg, own, x0 .. y1, slant, d): from each building to the feet on the segments within reach, upright ones within their own."""
+    foot = (F.col("t") > 0) & (F.col("t") < 1)
+    c = _feet(t, reach, 0.5).withColumn("slant", ~foot).filter(F.col("distance") <= F.when(foot, upright).otherwise(reach))
+    return c.select("id", (F.col("id") * 1_000_000_000 + F.col("seg")).alias("link"), "seg", F.array("seg").alias("own"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("foot_x").alias("x1"), F.col("foot_y").alias("y1"), "slant", F.round("distance", 6).alias("d"))
+
+
+@query("j17_clear_of_rings")
+def j17b(t: Tables) -> DataFrame:
+    """Candidates by rank, without those that run through a ring that is not open."""
+    c = _feet_links(t, 60, 60).withColumn("same", F.col("id") % 3 == F.col("seg") % 3)
+    shut = L.crossing(c, ring_edges(t), t.rows("ring long", (2,)), 0.5, 100)
+    best = c.join(shut, "link", "left_anti").groupBy("id").agg(F.min(F.struct("same", "d", "seg")).alias("m"))
+    return best.select("id", "m.seg")
+
+
+@query("j18_clear_feet")
+def j18b(t: Tables) -> DataFrame:
+    """Upright feet first; no link that doubles back, runs through a ring or lands in one, and landings at least 8 apart, by id."""
+    c = cut_lineage(_feet_links(t, 60, 100))
+    landed = S.points_in_rings(c.select("link", F.col("x1").alias("x"), F.col("y1").alias("y")), ring_edges(t), "link").select("link")
+    bad = L.doubling_back(c, segments(t), 2, 0.5, 100).unionByName(L.crossing(c, ring_edges(t), None, 0.5, 100)).unionByName(landed)
+    return L.first_clear(c.join(bad.distinct(), "link", "left_anti"), 8, ("slant", "d")).select("id", "seg")
+
+
 PARALLEL = f"(select a.seg as a, b.seg as b, abs(((a.x1 - a.x0) * (b.x1 - b.x0) + (a.y1 - a.y0) * (b.y1 - b.y0)) / (sqrt(cast((a.x1 - a.x0) * (a.x1 - a.x0) + (a.y1 - a.y0) * (a.y1 - a.y0) as double)) * sqrt(cast((b.x1 - b.x0) * (b.x1 - b.x0) + (b.y1 - b.y0) * (b.y1 - b.y0) as double)))) as c, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) as d2 from {SEG} a join {SEG} b on a.seg < b.seg)"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.operators import graph as N
+from penumbra.operators import links as L
 from penumbra.operators import routing as R
 from penumbra.operators import spatial as S
 from penumbra.operators.demand import huff, weighted_means
@@ -210,11 +211,12 @@ def n16(t: Tables) -> DataFrame:
     return R.resistance(m, 1.25, ("od",)).select("id", F.round("w1", 6).alias("w1"))
 
 
-STREET = "(select * from {lattice} where dir = 0 and u % 40 < 12 or dir = 1 and u % 40 = 6)"
-
-
+#: The whole lattice: rows meet the columns at every fortieth node; the other columns pass over them, on nodes of their own.
+OVER = 1_000_000_000_000
+STREET = f"(select edge_id, u + h as u, v + h as v, length, shade_pct from (select *, case when dir = 1 and u % 40 <> 6 then {OVER} else 0 end as h from {{lattice}}))"
+STREET_ENDS = f"(select edge_id, unnest([u, v]) as node from {STREET})"
 STREET_LABELS = label_sql(
-    f"(select x.edge_id as a, y.edge_id as b from {STREET} x join {STREET} y on x.edge_id <> y.edge_id and len(list_intersect([x.u, x.v], [y.u, y.v])) > 0 where (list_intersect([x.u, x.v], [y.u, y.v]))[1] in (select node from (select unnest([u, v]) as node from {STREET}) group by node having count(*) = 2))",
+    f"(select x.edge_id as a, y.edge_id as b from {STREET_ENDS} x join {STREET_ENDS} y on x.node = y.node and x.edge_id <> y.edge_id where x.node in (select node from {STREET_ENDS} group by node having count(*) = 2))",
     f"(select edge_id as id from {STREET})")
 
 
@@ -224,7 +226,8 @@ def n17(t: Tables) -> DataFrame:
 
 
 def _street_edges(t: Tables) -> DataFrame:
-    return t.lattice().filter("(edge_id % 2 = 0 and u % 40 < 12) or (edge_id % 2 = 1 and u % 40 = 6)")
+    h = F.when((F.col("edge_id") % 2 == 1) & (F.col("u") % 40 != 6), OVER).otherwise(0)
+    return t.lattice().withColumn("h", h).select("edge_id", (F.col("u") + F.col("h")).alias("u"), (F.col("v") + F.col("h")).alias("v"), "length", "shade_pct")
 
 
 @query("n17_street_resistance", STREET_LABELS + f""", s as (select label as street, sum(length) as length, sum(length * shade_pct / 100.0::double) / sum(length) as shade, avg(edge_id % 97) as crowd from l join {STREET} e on e.edge_id = l.id group by label)
@@ -250,6 +253,44 @@ def n19(t: Tables) -> DataFrame:
     return N.bridge_ends(links, _thin(t)).select("link", "a", "b")
 
 
+#: The whole lattice on a plane, in decimetres, nodes a little out of line; about half of the edges end a quarter short of their node, on one of their own.
+PLACED = f"""(select edge_id, u, case when loose then {OVER} + edge_id else v end as v, length, x0, y0, case when loose then (3 * x1 + x0) // 4 else x1 end as x1, case when loose then (3 * y1 + y0) // 4 else y1 end as y1 from (
+select *, edge_id * 7919 % 101 >= 50 as loose, u % 40 * 40 + u * 7 % 10 as x0, u // 40 * 40 + u * 3 % 10 as y0, v % 40 * 40 + v * 7 % 10 as x1, v // 40 * 40 + v * 3 % 10 as y1 from {{lattice}}))"""
+ENDS = f"""(select node, arg_min(x, edge_id) as x, arg_min(y, edge_id) as y, arg_min(ix, edge_id) as ix, arg_min(iy, edge_id) as iy from (
+select u as node, edge_id, x0 as x, y0 as y, x1 as ix, y1 as iy from {PLACED} union all select v, edge_id, x1, y1, x0, y0 from {PLACED}) group by node having count(*) = 1)"""
+END_PAIRS = f"(select a.node as a, b.node as b, a.x - a.ix as ux, a.y - a.iy as uy, b.x - b.ix as vx, b.y - b.iy as vy, b.x - a.x as wx, b.y - a.y as wy from {ENDS} a join {ENDS} b on a.node < b.node)"
+STRAIGHT = "ux * wx + uy * wy >= 0.5::double * sqrt(ux * ux + uy * uy) * sqrt(wx * wx + wy * wy) - 1e-9::double and -(vx * wx + vy * wy) >= 0.5::double * sqrt(vx * vx + vy * vy) * sqrt(wx * wx + wy * wy) - 1e-9::double"
+
+
+def _placed(t: Tables) -> DataFrame:
+    at = lambda c: (F.col(c) % 40 * 40 + F.col(c) * 7 % 10, F.floor(F.col(c) / 40) * 40 + F.col(c) * 3 % 10)
+    (x0, y0), (x1, y1) = at("u"), at("v")
+    loose = F.col("edge_id") * 7919 % 101 >= 50
+    short = lambda far, near: F.when(loose, F.floor((3 * far + near) / 4)).otherwise(far)
+    return t.lattice().select("edge_id", "u", F.when(loose, OVER + F.col("edge_id")).otherwise(F.col("v")).alias("v"), "length", x0.alias("x0"), y0.alias("y0"), short(x1, x0).alias("x1"), short(y1, y0).alias("y1"))
+
+
+def _ends(t: Tables) -> DataFrame:
+    e = _placed(t)
+    sides = e.select(F.col("u").alias("node"), F.col("edge_id").alias("seg"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("ix"), F.col("y1").alias("iy")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("edge_id").alias("seg"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x0").alias("ix"), F.col("y0").alias("iy")))
+    return sides.join(N.dangling(e), "node", "left_semi")
+
+
+@query("n19_straight_first", f"select a, b, case when {STRAIGHT} then 0 else 1 end as priority, round(sqrt(wx * wx + wy * wy), 4) as distance from {END_PAIRS} where wx * wx + wy * wy <= 2500 and wx * wx + wy * wy > 25")
+def n19b(t: Tables) -> DataFrame:
+    """Candidates between dangling ends within 50, straight ones first."""
+    return L.end_candidates(_ends(t), 50, 5).select("a", "b", "priority", rnd("distance").alias("distance"))
+
+
+@query("n19_end_bridging")
+def n19c(t: Tables) -> DataFrame:
+    """Ends bridged: what doubles back on other edges is rejected, then the minimum forest, straight candidates first."""
+    c = N.cut_lineage(L.end_candidates(_ends(t), 50, 5).withColumn("link", F.col("seg_a") * 1_000_000_000 + F.col("seg_b")).withColumn("own", F.array("seg_a", "seg_b")))
+    back = L.doubling_back(c, _placed(t).withColumnRenamed("edge_id", "seg"), 6, 0.5, 100)
+    return N.bridge_ends(c.join(back, "link", "left_anti"), _placed(t)).select("a", "b", "priority", rnd("distance").alias("distance"))
+
+
 @query("n20_spur_prune")
 def n20(t: Tables) -> DataFrame:
     e = t.lattice().filter("edge_id % 3 <> 0").withColumn("src", F.lit("linkway"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from penumbra.functions import geometry as G
 from penumbra.operators import graph as N
+from penumbra.operators import links as L
 from penumbra.operators import polygons as P
 from penumbra.operators import raster as R
 from penumbra.operators import routing as W
@@ -159,6 +160,11 @@ def n13(t: Tables) -> DataFrame:
 @query("n22_global_closure")
 def n22(t: Tables) -> DataFrame:
     """Dangling ends of the thinned lattice linked to the nearest nodes of other components, across components first."""
+    thin, links = _closure_candidates(t)
+    return N.bridge_ends(links, thin).select("a", "b", rnd("distance").alias("distance"))
+
+
+def _closure_candidates(t: Tables) -> tuple[DataFrame, DataFrame]:
     thin = t.lattice().filter("edge_id % 5 > 2")
     nodes = thin.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     at = lambda c: (F.col(c) % 40 * 10, F.floor(F.col(c) / 40) * 10)
@@ -166,8 +172,15 @@ def n22(t: Tables) -> DataFrame:
     ends = N.dangling(thin).select(F.col("node").alias("a"), x.alias("x"), y.alias("y"))
     near = nodes.select(F.col("node").alias("b"), x.alias("nx"), y.alias("ny"))
     cand = S.radius_join(ends, near, 15, 15).filter("d2 > 0.25 and a <> b")
-    links = cand.select((F.col("a") * 100000 + F.col("b")).alias("link"), "a", "b", F.lit(0).alias("priority"), F.sqrt(F.col("d2").cast("double")).alias("distance"))
-    return N.bridge_ends(links, thin).select("a", "b", rnd("distance").alias("distance"))
+    links = cand.select((F.col("a") * 10_000_000_000 + F.col("b")).alias("link"), "a", "b", F.lit(0).alias("priority"), F.sqrt(F.col("d2").cast("double")).alias("distance"))
+    return thin, links
+
+
+@query("n22_closed_ends")
+def n22b(t: Tables) -> DataFrame:
+    """As n22, and the ends that no link across components begins at take their nearest node."""
+    thin, cand = _closure_candidates(t)
+    return L.closure(cand, thin).select("a", "b", "across", rnd("distance").alias("distance"))
 
 
 @query("d10_od_export", f"select station, b // 3 as target, round(sum(vol), 4) as vol, round(sum(vol * d) / sum(vol), 4) as d from (select h.station, q.id as b, h.vol * q.gfa / n.g as vol, h.d from {HUFF} h join (select id, id * 23 % 500 as node, gfa from {{buildings}}) q on q.node = h.b % 500 join (select id * 23 % 500 as node, sum(gfa) as g from {{buildings}} group by 1) n on n.node = q.node) group by 1, 2")
