@@ -35,7 +35,7 @@ LEAST_BARE, EACH = 24, 8
 BANDS = 4
 #: Paragraphs of a bucket that a task verifies with each other, or with as many of another chunk.
 CHUNK = 512
-#: Rows of removals up to which they are broadcast to the texts; more are joined by a shuffle.
+#: Rows of removals, or of large buckets, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Paragraphs that a task remembers, so as to pass those that keep coming on once only.
 REMEMBERED = 1 << 18
@@ -336,16 +336,23 @@ def verify(similarity: float):
     return run
 
 
+def _if_few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast where there are at most BROADCAST_ROWS of them, so that what they are joined to stays where it is."""
+    held = cut(rows)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def similar_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
     """(a, b): spanning links between different paragraphs of docs that collide in a band and are at least so similar."""
     n = parts(docs.sparkSession)
     members = stored(band_keys(docs, similarity, bands).repartition(n, "key").sortWithinPartitions("key", "paragraph").mapInArrow(_shared, "key long, paragraph long"))
     large = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("key", F.lit(True).alias("large"))
+    large = _if_few(large)
     wanted = members.select("paragraph").distinct()
     shingles = shingle_rows(docs, similarity).join(wanted, "paragraph", "left_semi").groupBy("paragraph").agg(F.first("shingles").alias("shingles"))
     named = members.join(large, "key", "left").select("key", F.coalesce("large", F.lit(False)).alias("large"), "paragraph")
     thin = stored(named.join(shingles, "paragraph").select("key", "large", "paragraph", "shingles").mapInArrow(_thinned, "key long, paragraph long, shingles binary"))
-    sizes = thin.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
+    sizes = _if_few(thin.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK))
     dealt = (
         thin.join(sizes, "key", "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("paragraph"), F.col("chunks")).cast("int"))
