@@ -450,6 +450,23 @@ def test_a_graph_of_sixty_times_the_lattice_is_searched_from_arrays():
     assert sum(x.nbytes for x in g[2:]) <= 26 * 2 * m and [int(x) for x in g[3][:4]] == [0, 20, 0, 40]
 
 
+def test_adaptive_coolest_holds_sixty_times_the_lattice(spark, monkeypatch):
+    """The relational form is not taken at that size, and an arc takes 20 bytes there (two doubles and its target)."""
+    import numpy as np
+    import pyarrow as pa
+
+    k = np.arange(100_000)
+    assert sum(x.nbytes for x in P.compressed(pa.table({"u": k, "v": k + 1, "length": k * 1.0, "shade_pct": k * 1.0}))[2:]) == 20 * 2 * len(k)
+
+    class Many:
+        sparkSession = spark
+        count = staticmethod(lambda: 60 * 39_980)
+        select = staticmethod(lambda *c: spark.createDataFrame([(0, 1, 5.0, 0.0)], "u long, v long, length double, shade_pct double"))
+
+    monkeypatch.setattr(P, "_coolest_by_relax", None)
+    assert P.coolest_within(spark.createDataFrame([(1, 0, 1)], "pair long, start long, target long"), Many()).first().len == 5.0
+
+
 def test_adaptive_coolest_on_a_graph_too_large_to_broadcast(spark, monkeypatch):
     g = random.Random(6)
     edges = [(k, g.randrange(9), g.randrange(9), g.randrange(5, 40), g.randrange(0, 100)) for k in range(24)]
