@@ -119,7 +119,9 @@ def covered_share(samples: DataFrame, segments: DataFrame, reach: float) -> Data
     """(line, share): the share of a line's sample points (line, id, px, py) within reach of a segment; stands for buffer overlays."""
     from penumbra.operators.spatial import point_segment_join
 
-    hit = point_segment_join(samples, segments, reach, -1.0).select("line", "id").distinct().withColumn("hit", F.lit(1))
+    places, lines = samples.select("px", "py").distinct(), segments.select("x0", "y0", "x1", "y1").distinct()
+    near = point_segment_join(places, lines, reach, -1.0).select("px", "py").distinct()
+    hit = samples.join(near, ["px", "py"]).select("line", "id").distinct().withColumn("hit", F.lit(1))
     return samples.select("line", "id").join(hit, ["line", "id"], "left").groupBy("line").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
 
 
