@@ -626,3 +626,39 @@ def test_huff_sums_make_no_row_of_a_pair(spark, sf_dir, monkeypatch, name):
 
     monkeypatch.setattr(demand, "pairs", None)
     assert queries()[name](spark, sf_dir).columns
+
+
+def _most_rows(monkeypatch, module, name):
+    """The greatest number of rows on either side that the spatial join was given."""
+    seen, was = [0], getattr(module, name)
+
+    def counted(a, b, *more):
+        seen[0] = max(seen[0], a.count(), b.count())
+        return was(a, b, *more)
+
+    monkeypatch.setattr(module, name, counted)
+    return seen
+
+
+def test_copies_at_one_place_are_compared_once(spark, tmp_path, monkeypatch):
+    """50 customers and 50 suppliers at each of a few places: the joins see places, and the results are those of all rows."""
+    from penumbra.operators import polygons as Q
+    from penumbra.plans.registry import queries
+
+    spark.range(200).select((F.col("id") % 4 + F.floor(F.col("id") / 4) * 12000).alias("c_custkey"), F.lit("X").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(200).select((F.col("id") % 4 + F.floor(F.col("id") / 4) * 12000).alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    seen = [_most_rows(monkeypatch, S, n) for n in ("radius_join", "point_segment_join")]
+    ids = [k % 4 + k // 4 * 12000 for k in range(200)]
+    at = {k: (k * 7919 % 4000, k * 10427 % 3000) for k in ids}
+    spot = {k: (k * 6151 % 4000, k * 3571 % 3000) for k in ids}
+    got = {n: rows(queries()[n](spark, str(tmp_path))) for n in ("j11_largest_overlap", "n01_cluster", "n18_snap_to_edge", "j18_perpendicular_first", "j17_clear_of_rings", "j23_overlap_ratio")}
+    far = lambda a, b: (at[a][0] - spot[b][0]) ** 2 + (at[a][1] - spot[b][1]) ** 2
+    assert sorted(got["j11_largest_overlap"]) == sorted((a, min((far(a, b), b) for b in ids)[1]) for a in ids if min(far(a, b) for b in ids) <= 300 * 300)
+    assert sorted(got["n01_cluster"]) == sorted((a, a % 12000, *map(float, at[a])) for a in ids)
+    assert {r[0] for r in got["n18_snap_to_edge"]} >= {k for k in ids if k % 12000 == 0}
+    assert max(s[0] for s in seen) <= 4
+    ends = spark.createDataFrame([(1, None, 5), (2, None, 5), (7, 3, 3), (5, 3, 3), (6, 4, 3)], "id long, x long, y long")
+    assert rows(N.cluster_endpoints(ends, 2).select("id", "node"), "id") == [(1, 1), (2, 2), (5, 5), (6, 5), (7, 5)]
+    line = spark.createDataFrame([(1, 0, 0, 9, 0)], "seg long, x0 long, y0 long, x1 long, y1 long")
+    samples = spark.createDataFrame([(1, 1, 2, 1), (1, 2, 2, 50), (2, 3, 2, 1), (2, 4, 2, 1)], "line long, id long, px long, py long")
+    assert rows(Q.covered_share(samples, line, 3), "line") == [(1, 0.5), (2, 1.0)]
