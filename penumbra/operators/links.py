@@ -89,29 +89,52 @@ def crossing(links: DataFrame, edges: DataFrame, passable: DataFrame | None = No
 def first_clear(candidates: DataFrame, apart: float, rank: tuple[str, ...], taken: DataFrame | None = None) -> DataFrame:
     """Of each id the first candidate (id, link, x1, y1: where it lands) by rank and link that lands at least apart from every one accepted before.
 
-    Equal to one pass over the ids in ascending order. taken (x1, y1): landings that stand before the first. In each round the ids decide
-    that no undecided lesser id can disturb, so there are as many rounds as the longest chain of such ids, and no task holds them all.
-    Ids whose candidates are all blocked are left out.
+    Equal to one pass over the ids in ascending order. taken (x1, y1): landings that stand before the first. The ids are taken in ranges that
+    double, and those of a range without what landings before it block. In each round the ids of a range decide that no undecided lesser id
+    can disturb, so there are as many rounds as the longest chain of such ids, and no task holds them all. Candidates are compared by
+    where they land, not with each other. Ids whose candidates are all blocked are left out.
     """
-    live = cut_lineage(candidates.filter("x1 is not null and y1 is not null"))
-    at = live.select("id", "link", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    near = lambda d, *names: d.select(*names, F.col("x1").alias("nx"), F.col("y1").alias("ny"))
     size, close = max(apart, 1), F.col("d2") < apart * apart
+    all_of = candidates.filter("x1 is not null and y1 is not null")
+    spots = cut_lineage(all_of.select("x1", "y1").distinct())
+    other = spots.select(F.struct("x1", "y1").alias("beside"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
+    spot = lambda d: d.select(F.struct("x1", "y1").alias("spot"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    beside = cut_lineage(radius_join(spot(spots), other, apart, size).filter(close).select("spot", "beside"))
+    blocked = None
     if taken is not None:
-        live = cut_lineage(live.join(radius_join(at, near(taken), apart, size).filter(close).select("link").distinct(), "link", "left_anti"))
-        at = live.select("id", "link", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    other = near(live.withColumnsRenamed({"id": "later", "link": "blocked"}), "later", "blocked")
-    disturbs = cut_lineage(radius_join(at, other, apart, size).filter(close & (F.col("id") < F.col("later"))).select("id", "link", "later", "blocked"))
-    accepted = None
-    while not live.isEmpty():
-        waiting = disturbs.join(live.select("link"), "link", "left_semi").join(live.select(F.col("link").alias("blocked")), "blocked", "left_semi").select(F.col("later").alias("id")).distinct()
-        ready = live.join(waiting, "id", "left_anti")
-        first = cut_lineage(ready.groupBy("id").agg(F.min(F.struct(*rank, "link")).alias("best")).select("id", F.col("best.link").alias("link")))
-        chosen = live.join(first.select("link"), "link", "left_semi")
-        accepted = cut_lineage(chosen if accepted is None else accepted.unionByName(chosen))
-        blocked = disturbs.join(first.select("link"), "link", "left_semi").select(F.col("blocked").alias("link")).distinct()
-        live = cut_lineage(live.join(first.select("id"), "id", "left_anti").join(blocked, "link", "left_anti"))
-    return candidates.limit(0) if accepted is None else accepted
+        blocked = cut_lineage(radius_join(spot(spots), taken.select(F.col("x1").alias("nx"), F.col("y1").alias("ny")), apart, size).filter(close).select("spot").distinct())
+    every = all_of.withColumn("spot", F.struct("x1", "y1"))
+    accepted, low = None, None
+    for high in [*_doubling(all_of), None]:
+        live = every if low is None else every.filter(F.col("id") > low)
+        live = live if high is None else live.filter(F.col("id") <= high)
+        low = high
+        live = cut_lineage(live if blocked is None else live.join(blocked, "spot", "left_anti"))
+        while not live.isEmpty():
+            least = live.groupBy(F.col("spot").alias("beside")).agg(F.min("id").alias("least"))
+            waits = beside.join(least, "beside").groupBy("spot").agg(F.min("least").alias("least"))
+            judged = live.join(waits, "spot").groupBy("id").agg(F.min(F.col("least") >= F.col("id")).alias("ready"), F.min(F.struct(*rank, "link")).alias("best"))
+            first = cut_lineage(judged.filter("ready").select("id", F.col("best.link").alias("link")))
+            chosen = cut_lineage(live.join(first.select("link"), "link", "left_semi"))
+            accepted = cut_lineage(chosen if accepted is None else accepted.unionByName(chosen))
+            now = beside.join(chosen.select("spot").distinct(), "spot").select(F.col("beside").alias("spot")).distinct()
+            blocked = cut_lineage(now if blocked is None else blocked.unionByName(now).distinct())
+            live = cut_lineage(live.join(first.select("id"), "id", "left_anti").join(blocked, "spot", "left_anti"))
+    return candidates.limit(0) if accepted is None else accepted.select(*candidates.columns)
+
+
+#: Candidates up to which first_clear takes all ids as one range.
+RANGE_ROWS = 400_000
+
+
+def _doubling(candidates: DataFrame) -> list:
+    """Ids that end ranges of about RANGE_ROWS candidates, twice and four times as many, and so on; none if there are fewer."""
+    n = candidates.count()
+    parts, at = [], RANGE_ROWS
+    while at < n:
+        parts.append(at / n)
+        at = at * 2 + RANGE_ROWS
+    return sorted(set(candidates.agg(F.percentile_approx("id", parts).alias("q")).first()["q"])) if parts else []
 
 
 def closure(candidates: DataFrame, edges: DataFrame) -> DataFrame:

@@ -180,3 +180,21 @@ def test_feet_that_are_clear(spark, sf_dir):
             cands.append((r.id, r.link, r.x1, r.y1, (r.slant, r.d)))
     want = {(i, link - i * 1_000_000_000) for i, link in one_pass(cands, 8)}
     assert want and {(r.id, r.seg) for r in queries()["j18_clear_feet"](spark, sf_dir).collect()} == want
+
+
+def test_first_clear_compares_landings_not_candidates(spark, monkeypatch):
+    """90 ids on three spots, in ranges of three candidates and more: the join sees spots, and the result is that of one pass."""
+    spots = [(0.0, 0.0), (3.0, 0.0), (20.0, 0.0)]
+    data = [(k, k * 10 + j, *spots[j], (k + j) % 3) for k in range(90) for j in range(3)]
+    df = spark.createDataFrame(data, "id long, link long, x1 double, y1 double, rank int")
+    seen, was = [], L.radius_join
+    monkeypatch.setattr(L, "radius_join", lambda a, b, *more: seen.append(max(a.count(), b.count())) or was(a, b, *more))
+    monkeypatch.setattr(L, "RANGE_ROWS", 3)
+    want, stand = [], []
+    for k in range(90):
+        for _, link, x, y, _ in sorted((r for r in data if r[0] == k), key=lambda r: (r[4], r[1])):
+            if all((x - a) ** 2 + (y - b) ** 2 >= 16 for a, b in stand):
+                want.append((k, link))
+                stand.append((x, y))
+                break
+    assert sorted((r.id, r.link) for r in L.first_clear(df, 4, ("rank",)).collect()) == want and max(seen) == 3
