@@ -6,7 +6,10 @@ result of one pass over the candidates in order where a docstring says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions.geometry import distance2, within_capsule
@@ -90,12 +93,13 @@ def first_clear(candidates: DataFrame, apart: float, rank: tuple[str, ...], take
     """Of each id the first candidate (id, link, x1, y1: where it lands) by rank and link that lands at least apart from every one accepted before.
 
     Equal to one pass over the ids in ascending order. taken (x1, y1): landings that stand before the first. The ids are taken in ranges that
-    double, and those of a range without what landings before it block. In each round the ids of a range decide that no undecided lesser id
-    can disturb, so there are as many rounds as the longest chain of such ids, and no task holds them all. Candidates are compared by
-    where they land, not with each other. Ids whose candidates are all blocked are left out.
+    double, and those of a range without what landings before it block. In each round the candidates of a range are dealt to tiles, by where
+    the first of their id lands, and each tile makes the pass over its ids as far as no undecided id can change it; the tiles of the next
+    round lie elsewhere, and are fewer, as the candidates are. Across tiles landings are compared, not candidates. Ids whose candidates are
+    all blocked, and null ids, are left out.
     """
     size, close = max(apart, 1), F.col("d2") < apart * apart
-    all_of = candidates.filter("x1 is not null and y1 is not null")
+    all_of = candidates.filter("id is not null and x1 is not null and y1 is not null")
     spots = cut_lineage(all_of.select("x1", "y1").distinct())
     other = spots.select(F.struct("x1", "y1").alias("beside"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
     spot = lambda d: d.select(F.struct("x1", "y1").alias("spot"), F.col("x1").alias("x"), F.col("y1").alias("y"))
@@ -104,25 +108,99 @@ def first_clear(candidates: DataFrame, apart: float, rank: tuple[str, ...], take
     if taken is not None:
         blocked = cut_lineage(radius_join(spot(spots), taken.select(F.col("x1").alias("nx"), F.col("y1").alias("ny")), apart, size).filter(close).select("spot").distinct())
     every = all_of.withColumn("spot", F.struct("x1", "y1"))
+    blocks = lambda chosen: beside.join(chosen.select("spot").distinct(), "spot").select(F.col("beside").alias("spot")).distinct()
     accepted, low = None, None
     for high in [*_doubling(all_of), None]:
         live = every if low is None else every.filter(F.col("id") > low)
         live = live if high is None else live.filter(F.col("id") <= high)
         low = high
-        live = cut_lineage(live if blocked is None else live.join(blocked, "spot", "left_anti"))
-        while not live.isEmpty():
-            least = live.groupBy(F.col("spot").alias("beside")).agg(F.min("id").alias("least"))
-            waits = beside.join(least, "beside").groupBy("spot").agg(F.min("least").alias("least"))
-            judged = live.join(waits, "spot").groupBy("id").agg(F.min(F.col("least") >= F.col("id")).alias("ready"), F.min(F.struct(*rank, "link")).alias("best"))
-            first = cut_lineage(judged.filter("ready").select("id", F.col("best.link").alias("link")))
-            chosen = cut_lineage(live.join(first.select("link"), "link", "left_semi"))
-            accepted = cut_lineage(chosen if accepted is None else accepted.unionByName(chosen))
-            now = beside.join(chosen.select("spot").distinct(), "spot").select(F.col("beside").alias("spot")).distinct()
-            blocked = cut_lineage(now if blocked is None else blocked.unionByName(now).distinct())
-            live = cut_lineage(live.join(first.select("id"), "id", "left_anti").join(blocked, "spot", "left_anti"))
+        live = live if blocked is None else live.join(blocked, "spot", "left_anti")
+        live = cut_lineage(live.withColumn("__order", F.row_number().over(Window.partitionBy("id").orderBy(*rank, "link"))))
+        turn, taken_now = 0, None
+        while n := live.count():
+            chosen = cut_lineage(live.join(_passed(_dealt(live, beside, n, turn), apart), ["id", "link"], "left_semi"))
+            taken_now = chosen if taken_now is None else taken_now.unionByName(chosen)
+            live, turn = cut_lineage(live.join(chosen.select("id"), "id", "left_anti").join(blocks(chosen), "spot", "left_anti")), turn + 1
+        if taken_now is not None:
+            accepted = taken_now if accepted is None else accepted.unionByName(taken_now)
+            blocked = cut_lineage(blocks(taken_now) if blocked is None else blocked.unionByName(blocks(taken_now)).distinct())
     return candidates.limit(0) if accepted is None else accepted.select(*candidates.columns)
 
 
+#: Candidates for each tile of a round of first_clear, where they lie evenly.
+TILE_ROWS = 100_000
+
+
+def _dealt(live: DataFrame, beside: DataFrame, n: int, turn: int) -> DataFrame:
+    """The n candidates with __tile, one for all of an id, and __other: the least id of another tile with a candidate beside the spot."""
+    sides = math.ceil(math.sqrt(math.ceil(n / TILE_ROWS)))
+    if sides == 1:
+        return live.withColumn("__tile", F.lit("")).withColumn("__other", F.lit(None).cast(dict(live.dtypes)["id"]))
+    low_x, high_x, low_y, high_y = live.agg(F.min("x1"), F.max("x1"), F.min("y1"), F.max("y1")).first()
+
+    def strip(c: str, low: float, high: float, shift: float) -> Column:
+        side = (float(high) - float(low)) / sides
+        return F.floor((F.col(c).cast("double") - float(low)) / side + turn * shift % 1).cast("string") if 0 < side < math.inf else F.lit("")
+
+    home = live.groupBy("id").agg(F.min(F.struct("__order", "x1", "y1")).alias("m")).select("id", "m.x1", "m.y1")
+    home = home.select("id", F.concat_ws(" ", strip("x1", low_x, high_x, 0.618), strip("y1", low_y, high_y, 0.755)).alias("__tile"))
+    tiled = cut_lineage(live.join(home, "id"))
+    least = tiled.groupBy(F.col("spot").alias("beside"), F.col("__tile").alias("__from")).agg(F.min("id").alias("__other"))
+    reach = beside.join(least, "beside").groupBy("spot", "__from").agg(F.min("__other").alias("__other"))
+    asked = tiled.select("spot", "__tile").distinct().join(reach, "spot").filter("__from <> __tile")
+    return tiled.join(asked.groupBy("spot", "__tile").agg(F.min("__other").alias("__other")), ["spot", "__tile"], "left")
+
+
+def _passed(dealt: DataFrame, apart: float) -> DataFrame:
+    """(id, link) accepted by a pass over the ids of each tile.
+
+    An id whose first candidate that isn't blocked may yet be blocked, by a lesser id of another tile or one of its own that is undecided, stays
+    undecided itself, and so do later ids beside any of its candidates. The least id of all is always decided.
+    """
+    size, kinds = max(apart, 1), dict(dealt.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("id", "ascending"), ("__order", "ascending")])
+        ids, links, others, xs, ys = (t.column(c).to_pylist() for c in ("id", "link", "__other", "x1", "y1"))
+        number: dict = {}
+        spots = [number.setdefault(p, len(number)) for p in zip(xs, ys)]
+        at, cells = list(number), {}
+        cell = lambda p: (math.floor(p[0] / size), math.floor(p[1] / size)) if math.isfinite(p[0]) and math.isfinite(p[1]) else None
+        for i, p in enumerate(at):
+            cells.setdefault(cell(p), []).append(i)
+
+        def spread(i: int, marks: bytearray) -> None:
+            x, y = at[i]
+            if c := cell(at[i]):
+                for cx in (c[0] - 1, c[0], c[0] + 1):
+                    for cy in (c[1] - 1, c[1], c[1] + 1):
+                        for j in cells.get((cx, cy), ()):
+                            if (x - at[j][0]) * (x - at[j][0]) + (y - at[j][1]) * (y - at[j][1]) < apart * apart:
+                                marks[j] = 1
+
+        shut, open_, done, k = bytearray(len(at)), bytearray(len(at)), bytearray(len(at)), 0  # open_: an undecided id may land beside; done: spread there
+        out: list = []
+        while k < len(ids):
+            begin, me = k, ids[k]
+            while k < len(ids) and ids[k] == me:
+                k += 1
+            free = [j for j in range(begin, k) if not shut[spots[j]]]
+            if not free:
+                continue
+            j = free[0]
+            if not open_[spots[j]] and (others[j] is None or others[j] >= me):
+                out.append(j)
+                spread(spots[j], shut)
+            else:
+                for j in free:
+                    if not done[spots[j]]:
+                        done[spots[j]] = 1
+                        spread(spots[j], open_)
+        return pa.table({c: t.column(c).take(pa.array(out, pa.int64())) for c in ("id", "link")})
+
+    return dealt.select("id", "link", F.col("x1").cast("double").alias("x1"), F.col("y1").cast("double").alias("y1"), "__order", "__tile", "__other").groupBy("__tile").applyInArrow(run, f"id {kinds['id']}, link {kinds['link']}")
+
+
 #: Candidates up to which first_clear takes all ids as one range.
 RANGE_ROWS = 400_000
 

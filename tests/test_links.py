@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from penumbra.functions import geometry as G
@@ -198,3 +200,17 @@ def test_first_clear_compares_landings_not_candidates(spark, monkeypatch):
                 stand.append((x, y))
                 break
     assert sorted((r.id, r.link) for r in L.first_clear(df, 4, ("rank",)).collect()) == want and max(seen) == 3
+
+
+@pytest.mark.parametrize("rows", [20, 100_000])
+def test_first_clear_passes_over_a_chain_in_few_rounds(spark, monkeypatch, rows):
+    """200 ids, each beside the next, took as many rounds as the chain is long; in one tile and in tiles of about 20 candidates the result is that of one pass."""
+    g = random.Random(3)
+    cands = [(k, k * 10, k * 3.0, 0.0, 0) for k in range(200)] + [(k, k * 10 + j, g.uniform(0, 600), g.uniform(0, 60), j) for k in range(200) for j in (1, 2)]
+    df = spark.createDataFrame([*cands, (None, 7, 1.0, 1.0, 0), (900, 9000, None, 1.0, 0), (901, 9010, float("nan"), 1.0, 0)], "id long, link long, x1 double, y1 double, rank int")
+    cuts, was = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda d: cuts.append(1) or was(d))
+    monkeypatch.setattr(L, "TILE_ROWS", rows, raising=False)
+    got = [(r.id, r.link) for r in L.first_clear(df, 4, ("rank",)).collect()]
+    assert len(got) == len(set(got)) and set(got) == one_pass(cands, 4) | {(901, 9010)}
+    assert len(cuts) < (60 if rows == 20 else 10)
