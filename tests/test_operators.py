@@ -773,3 +773,22 @@ def test_pairs_of_rows_are_written_out_after_the_last_join(spark, tmp_path, monk
         assert above.count("Generate explode(") == 2 and "collect_list" in below
         assert same(out, con.sql(oracle_sql()["j14_radius_pairs"])) > 0
     assert max(len(r.n) for r in D.ids_at(spark.range(90).withColumn("k", F.lit(1)), ["k"], "n").collect()) == 90
+
+
+def test_od_export_shuffles_nothing_by_station_and_target(spark, tmp_path):
+    """D10: only the product of places and targets is left to do, without an aggregate; null and repeated ids, targets whose nodes a station lacks."""
+    import duckdb
+    from conftest import same
+    from penumbra.plans.registry import oracle_sql, queries
+
+    keys = [*range(0, 60), 7, 7, 12007, 12001, 24500, None]
+    spark.createDataFrame([(k, "X") for k in keys], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k,) for k in [0, 1, 2, 3, 12000, 12001, 24001, 10, None]], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    out = queries()["d10_od_export"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+    found = same(out, con.sql(oracle_sql()["d10_od_export"]))
+    assert 0 < found < out.select("station").distinct().count() * 21
